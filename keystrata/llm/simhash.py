@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, written
+from .common import connected_components, fresh, written
 
 FANOUT = 8
 #: Pairs of nodes looked at in one go; bounds memory.
@@ -249,9 +249,8 @@ def deduplicated(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataFram
     """
     found = near_duplicates(docs, words, max_diff)
     stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    alone = docs.filter("doc_id is null")
+    alone = docs.filter(F.col("doc_id").isNull())
     kept = docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi")
-    from pyspark.sql import Window
-
-    one = kept.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter("_nth = 1").drop("_nth")
+    nth = fresh(docs, "_nth")
+    one = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter(F.col(nth) == 1).drop(nth)
     return one.unionByName(alone)
