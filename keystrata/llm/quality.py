@@ -13,10 +13,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, SPACES
 
 SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
 
 #: Frequent function words of the languages at hand.
 STOP_WORDS = (

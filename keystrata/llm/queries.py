@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash
+from . import html_text, mixing, packing, pii, quality, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,13 +35,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.decisions(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_html": op1_html,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op7_pii": op7_pii,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op5_quality": quality.ORACLE_SQL,
+    "op8_mixing": mixing.ORACLE_SQL,
 }
