@@ -126,7 +126,7 @@ def _packed(texts: dict[bytes, list], buckets: int, common: np.ndarray) -> Itera
             yield bucket, squeeze.compress(len(some).to_bytes(4, "little") + head.tobytes() + source.tobytes() + b"".join(p for p, _ in some))
 
 
-def _pack(buckets: int, common: np.ndarray):
+def _pack(buckets: int, common: np.ndarray, pack_bytes: int):
     def emit(texts: dict) -> pa.RecordBatch | None:
         rows = list(_packed(texts, buckets, common))
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
@@ -145,7 +145,7 @@ def _pack(buckets: int, common: np.ndarray):
                     continue
                 texts[d] = [text, 1]
                 held += len(text)
-                if held >= PACK_BYTES:
+                if held >= pack_bytes:
                     yield emit(texts)
                     texts, held = {}, 0
         if texts:
@@ -288,25 +288,37 @@ def common_runs(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r.mer for r in found], np.int64).view(np.uint64))
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
+def repeated_windows(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """``digest, start, windows``: for each distinct text (MD5) the runs of windows that also start elsewhere."""
     size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
     # each super-k-mer has about half as many windows as a window has minimiser places
     packed = (size[1] or 0) * (1 + 2 * WINDOW / (WINDOW - MER + 2))
-    buckets = max(1, min((1 << 31) - 1, int(packed / BUCKET_BYTES) + 1))
+    buckets = max(1, min((1 << 31) - 1, int(packed / bucket_bytes) + 1))
     texts = docs.select(F.col("text").cast("binary").alias("text"))
-    blobs = texts.mapInArrow(_pack(buckets, common_runs(docs, size[0])), "bucket int, blob binary")
+    blobs = texts.mapInArrow(_pack(buckets, common_runs(docs, size[0]), pack_bytes), "bucket int, blob binary")
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "digest binary, start int, windows int")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space).
 
     Null, empty and short texts lose nothing.  Repeated rows are each other's repeats; null ids pass through;
     extra columns are ignored.
     """
-    spans = repeated_windows(docs).groupBy("digest").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    spans = repeated_windows(docs, bucket_bytes, pack_bytes).groupBy("digest").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     text = F.col("text").cast("binary")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("own"))
     joined = own.join(spans, own["own"] == spans["digest"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_text string")
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+x AS (SELECT rid, i, words[i] AS word, CASE WHEN i + {WINDOW - 1} <= len(words) THEN array_to_string(words[i : i + {WINDOW - 1}], ' ') END AS win
+      FROM (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM d)),
+r AS (SELECT rid, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS rep FROM x),
+m AS (SELECT rid, i, word, max(rep::int) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT rid, sum(gone)::bigint AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY rid)
+SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (rid)
+"""

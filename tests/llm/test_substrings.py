@@ -50,13 +50,12 @@ def test_clashing_hashes(monkeypatch):
     assert [g.tolist() for g in got] == [[seen[tuple(t.split()[i : i + n])] > 1 for i in range(len(t.split()) - n + 1)] for t in texts]
 
 
-@pytest.mark.parametrize("bucket_bytes,share", [(1 << 24, 0.005), (2000, 0.0001)])
-def test_against_brute_force(spark, monkeypatch, bucket_bytes, share):
-    monkeypatch.setattr(substrings, "BUCKET_BYTES", bucket_bytes)
+@pytest.mark.parametrize("bucket_bytes,pack_bytes,share", [(1 << 24, 1 << 24, 0.005), (2000, 900, 0.0001)])
+def test_against_brute_force(spark, monkeypatch, bucket_bytes, pack_bytes, share):
     monkeypatch.setattr(substrings, "COMMON_SHARE", share)
     texts = passages()
     df = spark.createDataFrame([(k if k % 17 else None, t, "z") for k, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(5)
-    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.deduplicated(df).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.deduplicated(df, bucket_bytes, pack_bytes).collect())
     assert got == Counter((k if k % 17 else None, *b) for k, b in enumerate(brute(texts)))
 
 
