@@ -33,7 +33,7 @@ BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text that are coded together; bytes of text for each bucket of the count tables.
 PACK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -49,9 +49,10 @@ def _opened(b: bytes, kind: str) -> np.ndarray:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A fixed 64-bit finaliser (that of MurmurHash3)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 CODED = "batch long, n_tokens long, digests binary, lengths binary, times binary, hashes binary, tokens binary"

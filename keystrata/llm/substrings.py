@@ -32,16 +32,16 @@ SAMPLE_DOCS, COMMON_SHARE = 20_000, 0.005
 #: Bytes of text that are packed together.
 PACK_BYTES = 24 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_ODD_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """A fixed 64-bit mixing of each value (the splitmix finaliser)."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A fixed 64-bit mixing of each value (the finaliser of MurmurHash3, away from zero)."""
+    x = x + np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
 
 def _run_hashes(x: np.ndarray, width: int) -> np.ndarray:
