@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, lm_score, mixing, packing, pii, quality, simhash, substrings, topk
+from . import html_text, licenses, lm_score, mixing, packing, pii, quality, simhash, substrings, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.decisions(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("notices", F.array_join("notices", ","))
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lm_score.scored(table(spark, sf_dir, "documents"))
     return s.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 5).alias("mean_log_score"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op6_substrings": op6_substrings,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
+    "op9_licenses": op9_licenses,
     "op10_lm": op10_lm,
 }
 
@@ -70,5 +75,6 @@ ORACLES: dict[str, str] = {
     "op5_quality": quality.ORACLE_SQL,
     "op6_substrings": substrings.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
+    "op9_licenses": licenses.ORACLE_SQL,
     "op10_lm": lm_score.ORACLE_SQL,
 }
