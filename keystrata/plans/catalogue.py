@@ -1,6 +1,356 @@
-"""Named queries over the driver's tables and their SQL counterparts."""
+"""Named queries over the driver's tables and the SQL that gives the same rows.
+
+``events`` stands for a version log: key ``u<user>/<event type>``, value ``props``, sequence ``event_id``; errors and
+values over 300 are tombstones; ``event_id % 4`` is the run.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bloom, bytesx, checksum, varint
+from ..operators import compaction, resolve, scan
+from ..schema import Options
+from ..sources.table import Table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+KV = """
+WITH kv AS (SELECT printf('u%06d/%s', user_id, event_type) AS k, props AS v, event_id AS seq,
+                   coalesce(event_type = 'error' OR value > 300, false) AS d, CAST(event_id % 4 AS INT) AS f FROM events),
+res AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM kv)
+"""
+LIVE = "SELECT k, v, seq FROM res WHERE rn = 1 AND NOT d"
+
+
+def query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _user_key(user: str, kind: Column) -> Column:
+    """``u%06d/<kind>`` without a formatter call per row."""
+    digits = F.col(user).cast("string")
+    return F.concat(F.lit("u"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits), F.lit("/"), kind)
+
+
+def version_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``k, v, seq, d, f``"""
+    return _table(spark, sf_dir, "events").select(
+        _user_key("user_id", F.col("event_type")).alias("k"),
+        F.col("props").alias("v"),
+        F.col("event_id").alias("seq"),
+        F.coalesce((F.col("event_type") == "error") | (F.col("value") > 300), F.lit(False)).alias("d"),
+        (F.col("event_id") % 4).cast("int").alias("f"),
+    )
+
+
+HOW = {"seq": "seq", "deleted": "d"}
+RAW = {"seq": "seq"}
+OUT = ("k", "v", "seq")
+
+
+@query(KV + LIVE)
+def q_live(spark, d):
+    return resolve.visible(version_log(spark, d), key="k", **HOW).select(*OUT)
+
+
+@query(KV + "SELECT k, v, seq, d FROM res WHERE rn = 1")
+def q_raw_snapshot(spark, d):
+    return resolve.resolve(version_log(spark, d), key="k", **RAW).select(*OUT, "d")
+
+
+@query(KV + LIVE + " AND k = 'u000012/click'")
+def q_get(spark, d):
+    return scan.get(version_log(spark, d), "u000012/click", "k", **HOW).select(*OUT)
+
+
+@query(KV + "SELECT k, v, seq, d FROM res WHERE rn = 1 AND k = 'u000012/error'")
+def q_get_raw(spark, d):
+    return scan.get_raw(version_log(spark, d), "u000012/error", "k", **RAW).select(*OUT, "d")
+
+
+@query(KV + ", c AS (SELECT c_custkey, printf('u%06d/click', c_custkey) AS k FROM customer) SELECT c.c_custkey, c.k, l.k IS NOT NULL AS found FROM c LEFT JOIN (" + LIVE + ") AS l ON c.k = l.k")
+def q_has_many(spark, d):
+    keys = _table(spark, d, "customer").select("c_custkey", _user_key("c_custkey", F.lit("click")).alias("k"))
+    return scan.has_many(version_log(spark, d), keys, "k", **HOW)
+
+
+@query(KV + LIVE + " AND k IN (SELECT printf('u%06d/view', c_custkey) FROM customer WHERE c_custkey <= 40)")
+def q_multi_get(spark, d):
+    keys = _table(spark, d, "customer").filter("c_custkey <= 40").select(_user_key("c_custkey", F.lit("view")).alias("k"))
+    return scan.multi_get(version_log(spark, d), keys, "k", **HOW).select(*OUT)
+
+
+@query(KV + LIVE + " AND k >= 'u000050' ORDER BY k LIMIT 10")
+def q_seek(spark, d):
+    return scan.seek(version_log(spark, d), "u000050", 10, "k", **HOW).select(*OUT)
+
+
+@query(KV + "SELECT k, v, seq, d FROM res WHERE rn = 1 AND k >= 'u000010' AND k < 'u000020'")
+def q_range(spark, d):
+    return scan.key_range(version_log(spark, d), "u000010", "u000020", name="k", **RAW).select(*OUT, "d")
+
+
+@query(KV + LIVE + " AND starts_with(k, 'u00000')")
+def q_prefix(spark, d):
+    return scan.prefix_scan(version_log(spark, d), "u00000", "k", **HOW).select(*OUT)
+
+
+@query(KV + LIVE + " AND starts_with(k, 'u0001')")
+def q_binary_prefix(spark, d):
+    log = version_log(spark, d).withColumn("k", F.col("k").cast("binary"))
+    return scan.prefix_scan(log, b"u0001", "k", **HOW).select(F.col("k").cast("string").alias("k"), "v", "seq")
+
+
+@query(KV + "SELECT coalesce(min(k), '') AS k FROM res WHERE rn = 1 AND NOT d AND k >= 'u0001'")
+def q_prefix_seek(spark, d):
+    return scan.first_at_or_after(resolve.visible(version_log(spark, d), key="k", **HOW), "u0001", "k")
+
+
+@query("SELECT coalesce(min(url), '') AS url FROM pages WHERE url >= 'zzz'")
+def q_prefix_seek_past_end(spark, d):
+    return scan.first_at_or_after(_table(spark, d, "pages"), "zzz", "url")
+
+
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://m.')")
+def q_url_prefix(spark, d):
+    return _table(spark, d, "pages").select("page_id", "url").filter(bytesx.has_prefix("url", "https://m."))
+
+
+@query("SELECT page_id, url FROM pages WHERE url >= 'https://m.' AND url < 'https://m/'")
+def q_url_range(spark, d):
+    return _table(spark, d, "pages").select("page_id", "url").filter(bytesx.in_range("url", "https://m.", "https://m/"))
+
+
+@query("SELECT url FROM pages WHERE url >= 'https://c' ORDER BY url LIMIT 5")
+def q_url_seek(spark, d):
+    return _table(spark, d, "pages").select("url").filter(F.col("url") >= "https://c").orderBy("url").limit(5)
+
+
+@query(KV + "SELECT count(*) AS n_live, count(*) FILTER (v IS NULL) AS n_null FROM res WHERE rn = 1 AND NOT d")
+def q_tombstone_order(spark, d):
+    return resolve.visible(version_log(spark, d), key="k", **HOW).agg(F.count("*").alias("n_live"), F.count(F.when(F.col("v").isNull(), 1)).alias("n_null"))
+
+
+@query(KV + "SELECT CAST(sum(CASE WHEN rn = 1 AND d THEN 1 ELSE 0 END) AS BIGINT) AS kept_tombstones, CAST(sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS BIGINT) AS dropped_obsolete FROM res")
+def q_merge_metrics(spark, d):
+    return resolve.merge_metrics(version_log(spark, d), key="k", **HOW)
+
+
+@query(KV + "SELECT CAST(0 AS BIGINT) AS kept_tombstones, CAST(sum(CASE WHEN rn > 1 OR d THEN 1 ELSE 0 END) AS BIGINT) AS dropped_obsolete FROM res")
+def q_drop_tombstones(spark, d):
+    return resolve.merge_metrics(version_log(spark, d), drop_tombstones=True, key="k", **HOW)
+
+
+@query(KV + "SELECT f AS run, min(k) AS min_key, max(k) AS max_key, max(seq) AS max_seq, count(*) AS entries FROM kv GROUP BY f")
+def q_run_stats(spark, d):
+    return compaction.run_stats(version_log(spark, d).withColumnRenamed("f", "run"), key="k")
+
+
+def _files(spark, d):
+    n = version_log(spark, d).groupBy("f").agg(F.count("*").alias("file_size"))
+    return n.select(F.concat(F.lit("run-"), F.col("f")).alias("name"), F.when(F.col("f") < 3, 0).otherwise(1).alias("level"), "file_size")
+
+
+FILES = KV + ", files AS (SELECT 'run-' || f AS name, CASE WHEN f < 3 THEN 0 ELSE 1 END AS level, count(*) AS file_size FROM kv GROUP BY f) "
+
+
+@query(FILES + "SELECT name, level, file_size FROM files WHERE level = 0 AND (SELECT count(*) FROM files WHERE level = 0) >= 2")
+def q_l0_plan(spark, d):
+    return compaction.plan_level0_frame(_files(spark, d), 2)
+
+
+@query(FILES + "SELECT name, level, file_size FROM files ORDER BY file_size, name LIMIT 2")
+def q_pick_smallest(spark, d):
+    return compaction.pick_by_size(_files(spark, d), 2)
+
+
+@query(KV + "SELECT k, v, seq, d FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC, f) AS r FROM kv WHERE f IN (0, 1)) WHERE r = 1")
+def q_two_run_merge(spark, d):
+    log = version_log(spark, d)
+    return resolve.merge([log.filter("f = 0"), log.filter("f = 1")], key="k", **HOW).select(*OUT, "d")
+
+
+@query("SELECT CAST(coalesce(sum(CASE WHEN p > url THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_unsorted FROM (SELECT url, lag(url) OVER (ORDER BY page_id) AS p FROM pages)")
+def q_sorted_check(spark, d):
+    return compaction.unsorted_pairs(_table(spark, d, "pages"), "url", "page_id")
+
+
+@query(KV + "SELECT CAST(sum(octet_length(encode(k)) + CASE WHEN d OR v IS NULL THEN 0 ELSE octet_length(encode(v)) END + 16) AS BIGINT) AS bytes FROM res WHERE rn = 1")
+def q_memtable_bytes(spark, d):
+    won = resolve.resolve(version_log(spark, d), key="k", **RAW)
+    return won.agg(F.sum(bytesx.entry_bytes("k", F.when(~F.col("d"), F.col("v")))).alias("bytes"))
+
+
+@query(KV + "SELECT coalesce(max(seq), 0) AS max_seq, count(DISTINCT k) AS n_keys FROM kv")
+def q_counts(spark, d):
+    return version_log(spark, d).groupBy("k").agg(F.max("seq").alias("s")).agg(F.coalesce(F.max("s"), F.lit(0)).alias("max_seq"), F.count("*").alias("n_keys"))
+
+
+@query(KV + "SELECT k, v, seq FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS r FROM kv WHERE seq <= 5000) WHERE r = 1 AND NOT d")
+def q_asof_seq(spark, d):
+    return resolve.as_of(version_log(spark, d), 5000, key="k", **HOW).select(*OUT)
+
+
+@query("SELECT conv_id, role, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS r FROM conversations) WHERE r = 1")
+def q_batch_last_wins(spark, d):
+    return resolve.resolve(_table(spark, d, "conversations"), key=["conv_id", "role"], seq="turn").select("conv_id", "role", "turn", "text")
+
+
+@query("SELECT c_custkey, CASE WHEN x >= 0 THEN 2 * x ELSE -2 * x - 1 END AS zz, x AS back FROM (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS x FROM customer)")
+def q_zigzag(spark, d):
+    x = F.floor("c_acctbal").cast("long")
+    return _table(spark, d, "customer").select("c_custkey", varint.zigzag(x).alias("zz"), varint.unzigzag(varint.zigzag(x)).alias("back"))
+
+
+SIZE = "CASE " + " ".join(f"WHEN {{x}} < {1 << 7 * n} THEN {n}" for n in range(1, 9)) + " ELSE 9 END"
+
+
+@query("SELECT o_orderkey, CAST(" + SIZE.format(x="x") + " AS INT) AS size FROM (SELECT o_orderkey, o_orderkey * o_orderkey * 37 AS x FROM orders)")
+def q_varint_size(spark, d):
+    x = F.col("o_orderkey") * F.col("o_orderkey") * 37
+    return _table(spark, d, "orders").select("o_orderkey", varint.size(x).alias("size"))
+
+
+@query("SELECT o_orderkey, o_orderkey * 1000003 AS decoded, CAST(" + SIZE.format(x="o_orderkey * 1000003") + " AS INT) AS n_bytes FROM orders")
+def q_varint_codec(spark, d):
+    coded = _table(spark, d, "orders").select("o_orderkey", varint.encode(F.col("o_orderkey") * 1000003).alias("b"))
+    return coded.select("o_orderkey", varint.decode("b").alias("decoded"), varint.encoded_length("b").alias("n_bytes"))
+
+
+@query(
+    "SELECT page_id, CAST(coalesce(list_min(list_filter(range(1, least(length(p), length(url)) + 1), lambda i: p[i] <> url[i])) - 1, least(length(p), length(url)), 0) AS INT) AS shared"
+    " FROM (SELECT page_id, url, lag(url) OVER (ORDER BY url, page_id) AS p FROM pages)"
+)
+def q_shared_prefix(spark, d):
+    from pyspark.sql import Window
+
+    pages = _table(spark, d, "pages").select("page_id", "url")
+    at = F.lag("url").over(Window.orderBy("url", "page_id"))
+    return pages.withColumn("p", at).select("page_id", F.coalesce(bytesx.shared_prefix_length(F.col("p").cast("binary"), F.col("url").cast("binary")), F.lit(0)).alias("shared"))
+
+
+@query("SELECT page_id, hex(encode(url)) || '00' AS successor FROM pages")
+def q_key_successor(spark, d):
+    return _table(spark, d, "pages").select("page_id", F.hex(bytesx.key_successor(F.col("url").cast("binary"))).alias("successor"))
+
+
+@query("SELECT n_nationkey, least(n_name, r_name) AS low, greatest(n_name, r_name) AS high, CASE WHEN n_name < r_name THEN -1 WHEN n_name > r_name THEN 1 ELSE 0 END AS cmp FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_min_max_compare(spark, d):
+    both = _table(spark, d, "nation").join(_table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    a, b = F.col("n_name").cast("binary"), F.col("r_name").cast("binary")
+    return both.select("n_nationkey", bytesx.min_bytes(a, b).cast("string").alias("low"), bytesx.max_bytes(a, b).cast("string").alias("high"), bytesx.compare(a, b).alias("cmp"))
+
+
+@query("SELECT doc_id, lang, regexp_full_match(text, '[\\x00-\\x7F]*') AS ascii, true AS utf8, starts_with(text, 'Th') AS th, ends_with(text, '.') AS dot FROM documents")
+def q_byte_tests(spark, d):
+    t = F.col("text").cast("binary")
+    return _table(spark, d, "documents").select(
+        "doc_id", "lang", bytesx.is_ascii(t).alias("ascii"), bytesx.is_valid_utf8(t).alias("utf8"), bytesx.has_prefix(t, b"Th").alias("th"), bytesx.has_suffix(t, b".").alias("dot")
+    )
+
+
+@query("SELECT c_custkey, CAST(8 + octet_length(encode(c_name)) + octet_length(encode(c_mktsegment)) AS BIGINT) AS size FROM customer")
+def q_serialized_size(spark, d):
+    return _table(spark, d, "customer").select("c_custkey", bytesx.serialized_size(F.col("c_name").cast("binary"), F.col("c_mktsegment").cast("binary")).alias("size"))
+
+
+@query("SELECT o_orderkey, lpad(hex(o_orderkey), 16, '0') AS be64, o_orderkey AS back FROM orders")
+def q_fixed_width(spark, d):
+    x = F.col("o_orderkey")
+    return _table(spark, d, "orders").select(
+        "o_orderkey", F.hex(bytesx.encode_fixed(x, 64, little=False)).alias("be64"), bytesx.decode_fixed(bytesx.encode_fixed(x, 64), 64).alias("back")
+    )
+
+
+@query("SELECT n_nationkey, hex(encode(n_name)) || repeat('00', greatest(0, 12 - octet_length(encode(n_name)))) AS padded, n_name AS trimmed, substr(n_name, 1, 3) AS head FROM nation")
+def q_pad_trim(spark, d):
+    b = bytesx.pad_right(F.col("n_name").cast("binary"), 12)
+    return _table(spark, d, "nation").select(
+        "n_nationkey", F.hex(b).alias("padded"), bytesx.trim_right_zeros(b).cast("string").alias("trimmed"), bytesx.first_bytes(F.col("n_name").cast("binary"), 3).cast("string").alias("head")
+    )
+
+
+@query("SELECT lang, count(*) AS n, CAST(ceil(greatest(64.0::double, -count(*) * ln(0.01::double) / (ln(2.0::double) * ln(2.0::double)))) AS BIGINT) AS bits FROM documents GROUP BY lang")
+def q_bloom_bits(spark, d):
+    n = _table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return n.select("lang", "n", bloom.optimal_bits("n").alias("bits"))
+
+
+@query(
+    "WITH b AS (SELECT lang, count(*) AS n, ceil(greatest(64.0::double, -count(*) * ln(0.01::double) / (ln(2.0::double) * ln(2.0::double)))) AS m FROM documents GROUP BY lang),"
+    " k AS (SELECT *, CAST(floor(least(greatest(m / n * ln(2.0::double), 1), 30) + 0.5) AS INT) AS hashes FROM b)"
+    " SELECT lang, hashes, round(pow(1 - exp(-hashes * n / m), hashes), 9) AS fp FROM k"
+)
+def q_bloom_fp(spark, d):
+    n = _table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).withColumn("m", bloom.optimal_bits("n"))
+    k = n.withColumn("hashes", bloom.optimal_hashes("m", "n"))
+    return k.select("lang", "hashes", F.round(bloom.estimated_fp("m", "hashes", "n"), 9).alias("fp"))
+
+
+@query("SELECT count(*) AS n_added, count(*) AS n_found FROM customer")
+def q_bloom_filter(spark, d):
+    """A filter over customer names holds every one of them."""
+    keys = _table(spark, d, "customer").select(F.col("c_name").cast("binary").alias("key"))
+    bits, hashes = bloom.sizing(keys.count())
+    f = bloom.build(keys, bits=bits, hashes=hashes).first()
+    return keys.agg(F.lit(f.n_added).alias("n_added"), F.count(F.when(bloom.may_contain("key", bits, hashes, bytes(f["filter"])), 1)).alias("n_found"))
+
+
+@query(None)
+def q_bloom_merge(spark, d):
+    """Filters per language joined by or: bits, and how full the whole is."""
+    docs = _table(spark, d, "documents").select("lang", F.col("doc_id").cast("string").cast("binary").alias("key"))
+    parts = None
+    for lang in ("en", "de", "fr", "es"):
+        one = bloom.build(docs.filter(F.col("lang") == lang), bits=4096, hashes=3)
+        parts = one if parts is None else parts.unionByName(one)
+    return bloom.merge(parts).select("bits", "hashes", "n_added", F.round(bloom.fill_ratio("filter", "bits"), 6).alias("fill"))
+
+
+@query(None)
+def q_checksums(spark, d):
+    u = F.col("url").cast("binary")
+    return _table(spark, d, "pages").select("page_id", checksum.crc32(u).alias("ieee"), checksum.crc32c(u).alias("castagnoli"), checksum.crc32_koopman(u).alias("koopman"))
+
+
+@query("SELECT o_orderkey, ((((c >> 15) | ((c << 17) & 4294967295)) + 2726488792) & 4294967295) AS masked, c AS back FROM (SELECT o_orderkey, (o_orderkey * 2654435761) & 4294967295 AS c FROM orders)")
+def q_crc_mask(spark, d):
+    c = (F.col("o_orderkey") * 2654435761).bitwiseAND(0xFFFFFFFF)
+    return _table(spark, d, "orders").select("o_orderkey", checksum.mask(c).alias("masked"), checksum.unmask(checksum.mask(c)).alias("back"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/keystrata-table-{uuid.uuid4().hex}"
+
+
+@query(KV + LIVE)
+def q_table_compacted(spark, d):
+    """The log written to a table as four runs of consecutive versions, compacted, read back."""
+    t = Table.open(spark, _scratch(spark), Options(compact_threshold=2))
+    log = version_log(spark, d)
+    first, last = log.agg(F.min("seq"), F.max("seq")).first()
+    step = (last - first) // 4 + 1
+    for low in range(first, last + 1, step):
+        part = log.filter((F.col("seq") >= low) & (F.col("seq") < low + step))
+        t.write_frame(part.select(F.col("k").cast("binary").alias("key"), F.col("v").cast("binary").alias("value"), F.col("d").alias("deleted"), (F.col("seq") - low).alias("ord")))
+    t.compact()
+    # sequence numbers of a table begin at 1
+    return t.scan().select(F.col("key").cast("string").alias("k"), F.col("value").cast("string").alias("v"), (F.col("seq") - 1 + first).alias("seq"))
