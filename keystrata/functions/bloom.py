@@ -74,7 +74,8 @@ def build(df: DataFrame, key: str = "key", bits: int = MIN_BITS, hashes: int = 4
         yield pd.DataFrame({"n_added": [n], "filter": [out.tobytes()]})
 
     parts = df.select(F.col(key).cast("binary").alias(key)).mapInPandas(partial, "n_added long, filter binary")
-    return merge(parts.withColumns({"bits": F.lit(bits).cast("long"), "hashes": F.lit(hashes)}))
+    none = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("n_added"), F.lit(bytes(-(-bits // 8))).alias("filter"))
+    return merge(parts.unionByName(none).withColumns({"bits": F.lit(bits).cast("long"), "hashes": F.lit(hashes)}))
 
 
 def merge(filters: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def shared_prefix_length(a: Column | str, b: Column | str) -> Column:
     ha, hb = F.hex(_col(a)), F.hex(_col(b))
     n = F.least(F.length(ha), F.length(hb)) / 2
     differ = F.filter(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substr(ha, 2 * i - 1, F.lit(2)) != F.substr(hb, 2 * i - 1, F.lit(2)))
-    return F.when(n < 1, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n.cast("int"))).cast("int")
+    shared = F.when(n < 1, 0).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n.cast("int"))).cast("int")
+    return F.when(ha.isNotNull() & hb.isNotNull(), shared)
 
 
 def pad_right(b: Column | str, n: int, fill: int = 0) -> Column:

@@ -28,7 +28,7 @@ def encode(x: Column | str) -> Column:
         group = F.shiftrightunsigned(x, 7 * i).bitwiseAND(0x7F)
         byte = F.when(F.lit(i) < last, group + 0x80).otherwise(group)
         parts.append(F.when(F.lit(i) <= last, F.lpad(F.hex(byte), 2, "0")).otherwise(""))
-    return F.unhex(F.concat(*parts))
+    return F.when(x.isNotNull(), F.unhex(F.concat(*parts)))
 
 
 def encoded_length(b: Column | str) -> Column:
