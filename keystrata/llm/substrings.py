@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, MER = 35, 6
+WINDOW, MER = 35, 4
 BUCKET_BYTES = 16 << 20
 #: Bounds of the sample that finds common runs: documents read, and the share of them that makes a run common.
 SAMPLE_DOCS, COMMON_SHARE = 20_000, 0.005
@@ -117,7 +117,7 @@ def _packed(texts: dict[bytes, list], buckets: int, common: np.ndarray) -> Itera
     by_bucket: dict[int, list] = {}
     for part, r in records.items():
         by_bucket.setdefault(r[0] % buckets, []).append((part, r))
-    squeeze = zstandard.ZstdCompressor(level=1)
+    squeeze = zstandard.ZstdCompressor(level=3)
     for bucket, held in by_bucket.items():
         for at in range(0, len(held), 20_000):
             some = held[at : at + 20_000]
