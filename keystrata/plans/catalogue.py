@@ -234,7 +234,7 @@ def q_varint_codec(spark, d):
 
 
 @query(
-    "SELECT page_id, CAST(coalesce(list_min(list_filter(range(1, least(length(p), length(url)) + 1), lambda i: p[i] <> url[i])) - 1, least(length(p), length(url)), 0) AS INT) AS shared"
+    "SELECT page_id, CAST(CASE WHEN p IS NULL THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(p), length(url)) + 1), lambda i: p[i] <> url[i])) - 1, least(length(p), length(url))) END AS INT) AS shared"
     " FROM (SELECT page_id, url, lag(url) OVER (ORDER BY url, page_id) AS p FROM pages)"
 )
 def q_shared_prefix(spark, d):
