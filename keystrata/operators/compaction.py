@@ -24,8 +24,7 @@ def plan_level0_frame(files: DataFrame, threshold: int = 4) -> DataFrame:
     """``plan_level0`` over a DataFrame of file metadata."""
     threshold = threshold if threshold > 0 else 4
     low = files.filter(F.col("level") == 0)
-    enough = low.agg((F.count("*") >= threshold).alias("_enough"))
-    return low.join(enough.filter("_enough")).drop("_enough")
+    return low.withColumn("_n", F.count("*").over(Window.partitionBy("level"))).filter(F.col("_n") >= threshold).drop("_n")
 
 
 def pick_by_size(files: DataFrame, n: int, size: str = "file_size", name: str = "name") -> DataFrame:

@@ -48,17 +48,16 @@ def merge(runs: Sequence[DataFrame], drop_tombstones: bool = False, key: str = "
     return out.filter(~F.col(deleted)) if drop_tombstones else out
 
 
-def merge_metrics(versions: DataFrame, drop_tombstones: bool = False, key: str = "key", seq: str = "seq", deleted: str = "deleted", src: str | None = None) -> DataFrame:
+def merge_metrics(versions: DataFrame, drop_tombstones: bool = False, key: str | Sequence[str] = "key", seq: str = "seq", deleted: str = "deleted") -> DataFrame:
     """One row: ``kept_tombstones``, and ``dropped_obsolete`` (older versions, and tombstones if they are dropped)."""
-    # dropped = all versions - winners kept, so that only the winners of each task are shuffled
-    won = resolve(versions, key, seq, src)
-    all_versions = versions.agg(F.count("*").alias("_all"))
-    keep = won.agg(F.count("*").alias("_won"), F.coalesce(F.sum(F.col(deleted).cast("long")), F.lit(0)).alias("_dead"))
-    dead = F.col("_dead")
-    both = all_versions.join(keep)
-    return both.select(
+    # one pass: each task sends a count and the newest flag of a key; versions with one seq are one version stored twice
+    keys = [key] if isinstance(key, str) else list(key)
+    per_key = versions.groupBy(*keys).agg(F.count("*").alias("_n"), F.max_by(deleted, seq).alias("_dead"))
+    dead = F.coalesce(F.sum(F.col("_dead").cast("long")), F.lit(0))
+    older = F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
+    return per_key.agg(
         (F.lit(0) if drop_tombstones else dead).cast("long").alias("kept_tombstones"),
-        (F.col("_all") - F.col("_won") + (dead if drop_tombstones else F.lit(0))).cast("long").alias("dropped_obsolete"),
+        (older + dead if drop_tombstones else older).cast("long").alias("dropped_obsolete"),
     )
 
 

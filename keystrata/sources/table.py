@@ -364,7 +364,7 @@ class Table:
             return None
         read = self.spark.read.schema(VERSION_SCHEMA).parquet(*(self._store.run_path(f["name"]) for f in inputs))
         versions = read.select("*", F.col("_metadata.file_path").alias("src"))
-        metrics = merge_metrics(versions, drop_tombstones, src="src").first()
+        metrics = merge_metrics(versions, drop_tombstones).first()
         merged = resolve(versions, src="src").drop("src")
         if drop_tombstones:
             merged = merged.filter(~F.col("deleted"))
