@@ -235,8 +235,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataF
     rows = written(fingerprints(docs, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
     root = connected_components(links(nodes.select("fp"), max_diff))
-    named = nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+    # written too, so that the join can split a component that holds very many fingerprints
+    low = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "components")
     of = named.select("fp", "root").join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(of, rows["fp"] == of["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
