@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm import mixing, packing, pii, quality, simhash
 from keystrata.llm.common import table, written
+from keystrata.shipping import ship
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

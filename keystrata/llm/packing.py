@@ -145,7 +145,7 @@ def _pack_shard(window: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         bins, offsets = best_fit_decreasing(rows["length"].to_numpy(), window)
-        rows["sequence_id"] = rows["shard"].to_numpy() + (bins + 1) * SHARDS
+        rows["sequence_id"] = 2 * (rows["shard"].to_numpy() + bins * SHARDS)
         rows["offset"] = offsets
         return rows.drop(columns="shard")
 
@@ -174,6 +174,6 @@ def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = 50_000, with_i
     shards = max(1, min(SHARDS, -(-n // shard_rows)))
     schema = PIECE + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
     packed = rest.withColumn("shard", F.pmod(spread, F.lit(shards))).groupBy("shard").applyInPandas(_pack_shard(window), schema)
-    # whole windows need no place: their ids are negative, made of partition and row as they were written
-    alone = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    # whole windows need no place: their ids are odd, made of partition and row as they were written
+    alone = full.withColumn("sequence_id", F.monotonically_increasing_id() * 2 + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(alone)

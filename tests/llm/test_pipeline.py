@@ -59,3 +59,26 @@ def test_stages_against_brute_force(spark):
         spans.sort()
         assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[-1][1] <= packing.WINDOW
     assert len(places) <= sum(covered.values()) / packing.WINDOW + 2
+
+
+def test_stages_take_odd_tables(spark):
+    """Nulls in every column, repeated rows, empty tables, extra columns with the operators' own names."""
+    clean = test_quality.CLEAN
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp long, _nth string, shard string, _mix_p double, digest binary"
+    rest = (None, 1, "x", "y", 0.5, None)
+    rows = [(1, clean, "en", "s", *rest), (1, clean, "en", "s", *rest), (None, clean + " and one more", None, None, *rest), (2, None, None, None, *rest), (3, "", "en", "s", *rest), (None, None, None, None, *rest)]
+    rows.append((4, clean.replace("river", "a.b@c.example"), "de", None, *rest))
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            out.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+        assert packed.agg({"length": "sum"}).first()[0] == (sum(len(packing.encode(r[1])) for r in table) if table else None)
+    docs = spark.createDataFrame(rows, schema)
+    step = dict(corpus_pipeline.STAGES)
+    assert step["quality"](spark, docs, "").count() == 4
+    kept = step["near_duplicates"](spark, docs, "")
+    assert sorted(str(r.doc_id) for r in kept.collect()) in (["1", "2", "4", "None", "None"], ["1", "2", "None", "None"])
+    assert sum("[EMAIL]" in (r.text or "") for r in step["personal_data"](spark, docs, "").collect()) == 1
