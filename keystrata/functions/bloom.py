@@ -108,7 +108,7 @@ def may_contain(key: Column | str, bits: int, hashes: int, data: bytes) -> Colum
 
 def fill_ratio(data: Column | str, bits: Column | str) -> Column:
     """Set bits over all bits."""
-    ones = F.length(F.replace(F.conv(F.lit("0"), 16, 2), F.lit("0"), F.lit("")))
+    ones = F.lit(0)
     digits = F.hex(_col(data))
     for d in range(1, 16):
         ones = ones + bin(d).count("1") * (F.length(digits) - F.length(F.translate(digits, f"{d:X}", "")))
