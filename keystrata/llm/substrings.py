@@ -25,12 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_batches, written
+
 WINDOW, MER = 35, 4
 BUCKET_BYTES = 16 << 20
 #: Bounds of the sample that finds common runs: documents read, and the share of them that makes a run common.
 SAMPLE_DOCS, COMMON_SHARE = 20_000, 0.005
 #: Bytes of text that are packed together.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 12 << 20
+#: Of an Arrow batch of packed rows.
+BATCH_BYTES = "16m"
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 _ODD_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -306,6 +310,9 @@ def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes:
     extra columns are ignored.
     """
     spans = repeated_windows(docs, bucket_bytes, pack_bytes).groupBy("digest").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    # written, so that the join below can split the rows of a text that very many documents share
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        spans = written(spans, "spans")
     text = F.col("text").cast("binary")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("own"))
     joined = own.join(spans, own["own"] == spans["digest"], "left").select("doc_id", "text", "spans")
