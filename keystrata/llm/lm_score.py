@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import arrow_batches, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text that are coded together; bytes of text for each bucket of the count tables.
-PACK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
+PACK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Of an Arrow batch: about one row.
+BATCH_BYTES = "4m"
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -228,6 +230,9 @@ def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BU
     met = coded.join(back, coded["batch"] == back["of"]).select("digests", "lengths", "times", "hashes", "tokens", "totals")
     scores = met.mapInArrow(_score(int(n_tokens)), "digest binary, n_words long, log_score double")
     scores = scores.groupBy("digest").agg(F.min("n_words").alias("n_words"), F.min("log_score").alias("log_score"))
+    # written, so that the join below can split the rows of a text that very many documents share
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        scores = written(scores, "scores")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("own"))
     return own.join(scores, own["own"] == scores["digest"], "left").select(
         "doc_id",
