@@ -31,9 +31,9 @@ from .common import arrow_batches, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text that are coded together; bytes of text for each bucket of the count tables.
-PACK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+PACK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 #: Of an Arrow batch: about one row.
-BATCH_BYTES = "4m"
+BATCH_BYTES = "2m"
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -109,20 +109,22 @@ class _Batch:
     def __init__(self, lengths: bytes, times: bytes, hashes: bytes, tokens: bytes):
         self.lengths = _opened(lengths, "<u4").astype(np.int64)
         self.times = _opened(times, "<i8")
-        h, ids = _opened(hashes, "<u8"), _opened(tokens, "<u4").astype(np.int64)
-        self.ids, self.doc = ids, np.repeat(np.arange(len(self.lengths)), self.lengths)
-        first = np.zeros(len(ids), bool)
-        first[np.cumsum(self.lengths)[:-1]] = True
-        first[:1] = True
-        self.second = np.flatnonzero(~first)  # tokens that follow another
-        code, self.pair = np.unique(ids[self.second - 1] << 32 | ids[self.second], return_inverse=True)
-        one = _mixed(h * _ODD + np.uint64(1))
-        two = _mixed(_mixed(h[code >> 32] + np.uint64(2)) * _ODD + h[code & 0xFFFFFFFF])
-        keys = np.concatenate([one, two])
+        h, ids = _opened(hashes, "<u8"), _opened(tokens, "<u4").astype(np.int32)
+        self.ids, self.doc = ids, np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        follows = np.ones(len(ids), bool)
+        follows[np.cumsum(self.lengths)[:-1]] = False
+        follows[:1] = False
+        self.second = np.flatnonzero(follows).astype(np.int32)  # tokens that follow another
+        pairs = ids[self.second - 1].astype(np.int64) << 32
+        pairs |= ids[self.second]
+        code, back = np.unique(pairs, return_inverse=True)
+        self.pair = back.astype(np.int32)
+        del pairs, back
+        keys = np.concatenate([_mixed(h * _ODD + np.uint64(1)), _mixed(_mixed(h[code >> 32] + np.uint64(2)) * _ODD + h[code & 0xFFFFFFFF])])
         order = np.argsort(keys, kind="stable")
         self.keys, self.words = keys[order], len(h)
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.arange(len(order))
+        self.place = np.empty(len(order), np.int32)
+        self.place[order] = np.arange(len(order), dtype=np.int32)
 
     def counts(self) -> np.ndarray:
         weight = self.times[self.doc].astype(float)
@@ -132,8 +134,10 @@ class _Batch:
 
     def own(self, item: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """For each token how often its document has the item."""
-        _, back, n = np.unique(doc << 32 | item, return_inverse=True, return_counts=True)
-        return n[back]
+        both = doc.astype(np.int64) << 32
+        both |= item
+        _, back, n = np.unique(both, return_inverse=True, return_counts=True)
+        return n.astype(np.int32)[back]
 
     def scores(self, totals: np.ndarray, n_tokens: int) -> np.ndarray:
         word = totals[self.place[self.ids]] - self.own(self.ids, self.doc)
