@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,36 +21,68 @@ def size(x: Column | str) -> Column:
     return F.when(x.isNotNull(), out.otherwise(9)).cast("int")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def encode(x: Column | str) -> Column:
-    """The encoding of a long taken as unsigned."""
+    """The encoding of a long taken as unsigned.
+
+    Bytes are put together as numbers, five to a half, so a row is rendered as text twice and not ten times.
+    """
     x = _col(x).cast("long")
-    last = size(x) - 1
-    parts = []
-    for i in range(MAX_LENGTH):
-        group = F.shiftrightunsigned(x, 7 * i).bitwiseAND(0x7F)
-        byte = F.when(F.lit(i) < last, group + 0x80).otherwise(group)
-        parts.append(F.when(F.lit(i) <= last, F.lpad(F.hex(byte), 2, "0")).otherwise(""))
-    return F.when(x.isNotNull(), F.unhex(F.concat(*parts)))
+
+    def of(n: Column) -> Column:
+        digits = []
+        for half in (0, 1):
+            value = F.lit(0).cast("long")
+            for k in range(5):
+                i = 5 * half + k
+                group = F.shiftrightunsigned(x, 7 * i).bitwiseAND(0x7F).bitwiseOR(F.when(n > i + 1, 0x80).otherwise(0).cast("long"))
+                value = value.bitwiseOR(F.shiftleft(group, 8 * (4 - k)))
+            text = F.substr(F.lpad(F.hex(value), 10, "0"), F.lit(1), 2 * F.greatest(n - 5 * half, F.lit(0)))
+            digits.append(text if half == 0 else F.when(n > 5, text).otherwise(""))
+        return F.unhex(F.concat(*digits))
+
+    return F.when(x.isNotNull(), _let(size(x), of))
+
+
+def _with_bytes(b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body(halves, n)``: the first ten bytes as two numbers of five, and the length of the first encoding.
+
+    Bytes that are missing are 0xFF, which never ends an encoding; its length is null if nothing does.
+    """
+    digits = F.rpad(F.hex(F.substring(b, 1, MAX_LENGTH)), 2 * MAX_LENGTH, "F")
+    halves = F.array(*(F.conv(F.substring(digits, at, 10), 16, 10).cast("long") for at in (1, 11)))
+
+    def length(h: Column) -> Column:
+        out = None
+        for i in range(MAX_LENGTH):
+            ends = F.get(h, F.lit(i // 5)).bitwiseAND(0x80 << 8 * (4 - i % 5)) == 0
+            out = F.when(ends, i + 1) if out is None else out.when(ends, i + 1)
+        return out.cast("int")
+
+    return F.when(b.isNotNull(), _let(halves, lambda h: _let(length(h), lambda n: body(h, n))))
 
 
 def encoded_length(b: Column | str) -> Column:
     """Bytes of the first encoding in ``b``; null if it is cut off or longer than ten bytes."""
-    digits = F.regexp_extract(F.hex(_col(b)), "^((?:[89A-F][0-9A-F])*[0-7][0-9A-F])", 1)
-    n = (F.length(digits) / 2).cast("int")
-    return F.when((n > 0) & (n <= MAX_LENGTH), n)
+    return _with_bytes(_col(b), lambda h, n: n)
 
 
 def decode(b: Column | str) -> Column:
     """The first encoding in ``b`` as a long (64 bits wrap); null if it is cut off or overflows 64 bits."""
-    b = _col(b)
-    n = encoded_length(b)
-    digits = F.hex(F.substring(b, 1, MAX_LENGTH))
-    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("long").bitwiseAND(0x7F)
-    out = F.lit(0).cast("long")
-    for i in range(MAX_LENGTH):
-        out = out.bitwiseOR(F.when(F.lit(i) < n, F.shiftleft(byte(i), 7 * i)).otherwise(F.lit(0).cast("long")))
-    fits = (n < MAX_LENGTH) | (byte(9) <= 1)
-    return F.when(n.isNotNull() & fits, out)
+
+    def of(h: Column, n: Column) -> Column:
+        out = F.lit(0).cast("long")
+        for i in range(MAX_LENGTH):
+            group = F.shiftrightunsigned(F.get(h, F.lit(i // 5)), 8 * (4 - i % 5)).bitwiseAND(0x7F)
+            out = out.bitwiseOR(F.when(n > i, F.shiftleft(group, 7 * i)).otherwise(F.lit(0).cast("long")))
+        fits = (n < MAX_LENGTH) | (F.get(h, F.lit(1)).bitwiseAND(0xFF) <= 1)
+        return F.when(n.isNotNull() & fits, out)
+
+    return _with_bytes(_col(b), of)
 
 
 def decode_pair(b: Column | str) -> Column:
