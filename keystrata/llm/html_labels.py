@@ -30,6 +30,24 @@ PAGES = (
     f"<div class=content><h1>+ Notes</h1><p>+ One.</p><p>+ Two of them.</p><p>{MEDIUM}</p></div><div class=footer>- Back to top</div><div class=copyright>- All words on this page belong to those who wrote them and may not be copied.</div>",
     f"<div><a href=/>- Start</a></div><p>{LONG}</p><p>{LONG}</p><p>{MEDIUM}</p><p>+ He agreed.</p><p>{LONG}</p><div><a href=/p>- Privacy</a> | <a href=/t>- Terms</a></div>",
     f"<article><h1>+ A short one</h1><p>+ Closed.</p></article><footer>- Made by hand in the town of the old harbour by people who care.</footer>",
+    # an article's own header: the title is text, what stands beside it is not
+    f"<article><header><h1>+ The old lighthouse</h1><p>- By our reporter on the coast</p></header><p>{LONG}</p><p>{MEDIUM}</p></article>",
+    f"<header><h1>- Coast and Harbour</h1><p>- All the news by the sea</p></header><main><header class=entry-header><h1>+ A new ferry</h1></header><p>{MEDIUM}</p><p>{LONG}</p></main>",
+    f"<header class=site-header><h1>- Harbour Press</h1></header><article class=post><header><h2>+ Storm on the coast</h2><p>- Posted this morning</p></header><p>{SHORT}</p><p>{LONG}</p></article>",
+    f"<header><h2>- The Quay</h2></header><article><header><h1>+ Night at sea</h1></header><p>{LONG}</p></article>",
+    # headlines that link away, long ones too; a linked paragraph among others stays
+    f"<article><p>{LONG}</p><p>{MEDIUM}</p><ul><li><a href=1>- Seven things that the council has not told you about the new harbour</a></li><li><a href=2>- Why the ferry to the islands was late on each day of last week</a></li><li><a href=3>- The woman who has painted every ship on this coast since the war</a></li></ul></article>",
+    f"<p>{LONG}</p><p>{LONG}</p><div><a href=1>- What the owners of the shipyard said when they were asked about the fire</a></div><div><a href=2>- Ten years on, the families of the lost crew still ask for answers</a></div><div><a href=3>- How to get to the islands when the ferry does not run in winter</a></div>",
+    f"<article><p>{MEDIUM}</p><p><a href=1>+ The whole letter of the harbour master to the council can be read here</a></p><p>{LONG}</p><p>{MEDIUM}</p></article>",
+    f"<article><p>{LONG}</p><p><a href=1>+ A map of the coast with all the places named in this report is here</a></p><p>{SHORT}</p></article>",
+    f"<div><a href=1>- The council has agreed on a plan for the harbour at last</a></div><div><a href=2>- The ferry will run again from the first day of spring on</a></div><div><a href=3>- Storm takes the roof off the old school by the sea</a></div><p>{LONG}</p><p>{MEDIUM}</p>",
+    f"<article><p>{SHORT}</p><p><a href=1>+ The list of all ships that the storm has taken is kept by the town</a></p><p>{SHORT}</p></article>",
+    f"<article><h1>+ Ships</h1><p><a href=1>+ We wrote about the first of these ships a year ago in a long report</a></p><p>{SHORT}</p><p><a href=2>+ What became of her crew is told in this second one</a></p><p>{MEDIUM}</p></article>",
+    f"<article><p>+ It was cold.</p><p><a href=1>+ The song that they sang on the way home</a></p><p>+ Nobody slept.</p></article>",
+    f"<article><p>{MEDIUM}</p><p><a href=1>+ As the harbour master wrote to us in the spring</a></p><p>{SHORT}</p></article>",
+    f"<article><p>{LONG}</p><div><a href=1>- Read on: the plan for the harbour and what it will cost the town</a></div><div><a href=2>- Read on: the storm of last winter in pictures from our readers</a></div></article>",
+    f"<article><p>{LONG}</p><ul><li><a href=1>- A walk to the lighthouse and back with the whole family</a></li><li><a href=2>- Where to sleep when all the houses by the sea are full</a></li></ul><p>{LONG}</p></article>",
+    f"<p>{MEDIUM}</p><p>{LONG}</p><ul><li><a href=1>- The council and the shipyard have come to terms at last</a></li><li><a href=2>- The islands will have a doctor of their own again</a></li><li><a href=3>- More</a></li></ul>",
     # hardly any markup
     f"<p>{LONG}</p>",
     f"<html><body>{MEDIUM} {SHORT[2:]}</body></html>",

@@ -35,14 +35,16 @@ LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h
 BAD_NAMES = frozenset("nav footer aside form menu dialog fieldset button label option legend".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 BAD_TOKENS = frozenset(
-    "nav navbar navigation menu menubar submenu breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot sidebar side aside rail widget "
+    "nav navbar navigation menu menubar submenu toc breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot sidebar side aside rail widget "
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner teaser "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay toast disclaimer subscribe subscription newsletter signup signin login register paywall "
     "search share sharing social follow related recommend recommended recommendations trending popular "
     "comment comments commentlist commenter reply replies respond responses discussion disqus reactions form copyright legal skip".split()
 )
 HEADER_TOKENS = frozenset("header head".split())
-LAYOUT_TOKENS = frozenset("layout wrapper wrap container page site has with no row grid col column columns inner outer body theme template".split())
+#: In a class name these say how a wrapper is laid out, not what it holds.
+LAYOUT_TOKENS = frozenset("layout has with no without grid theme template".split())
+WRAP_TOKENS = frozenset("wrap wrapper container inner outer".split())
 GOOD_NAMES = frozenset(("article", "main"))
 GOOD_TOKENS = frozenset("article content main post entry story articlebody".split())
 
@@ -68,18 +70,19 @@ def _cue(name: str, attrs: str) -> tuple[bool, bool, bool]:
     """Of an element: boilerplate, header, content."""
     bad, header, good = name in BAD_NAMES, name == "header", name in GOOD_NAMES
     if attrs and name not in ("html", "body"):
-        tokens: set[str] = set()
         for key, a, b, c in _ATTR.findall(attrs):
             value = a or b or c
             if key.lower() == "role":
                 bad |= value.strip().lower() in BAD_ROLES
                 good |= value.strip().lower() in ("main", "article")
-            else:
-                tokens.update(t.lower() for t in _TOKEN.findall(value))
-        if name in GOOD_NAMES or not tokens & LAYOUT_TOKENS or tokens & {"comment", "comments", "disqus", "cookie", "sidebar"} and not tokens & {"has", "with", "no", "layout"}:
-            bad |= bool(tokens & BAD_TOKENS)
-            header |= bool(tokens & HEADER_TOKENS)
-        good |= bool(tokens & GOOD_TOKENS) and not bad
+                continue
+            for one in value.split():
+                tokens = {t.lower() for t in _TOKEN.findall(one)}
+                if tokens & LAYOUT_TOKENS or tokens & WRAP_TOKENS and tokens & GOOD_TOKENS:
+                    continue
+                bad |= bool(tokens & BAD_TOKENS)
+                header |= bool(tokens & HEADER_TOKENS)
+                good |= bool(tokens & GOOD_TOKENS)
     return bad, header and not bad, good and not bad
 
 
@@ -195,18 +198,21 @@ def blocks(html: str | None) -> list[Block]:
     return out
 
 
-FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "boilerplate", "header", "content", "heading", "item", "sentence")
+FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "near_density", "boilerplate", "header", "content", "heading", "item", "sentence")
 
 
 def features(page: list[Block]) -> np.ndarray:
-    """One row for each block; beyond the page's ends neighbours have no words and no links."""
+    """One row for each block; beyond the page's ends neighbours have no words and no links.
+
+    ``near_density`` is the greater of the two neighbours' link densities: links come in lists.
+    """
     n = len(page)
     words = np.array([b.words for b in page], float)
     density = np.array([b.linked / b.words for b in page], float)
     around = lambda x: (np.concatenate([[0.0], x[:-1]]), np.concatenate([x[1:], [0.0]]))
     (bw, aw), (bd, ad) = around(words), around(density)
     flags = np.array([(b.bad, b.header, b.good, b.heading, b.item, b.text[-1] in ".!?…:;\"'”»)") for b in page], float).reshape(n, 6)
-    return np.column_stack([words, density, bw, bd, aw, ad, flags])
+    return np.column_stack([words, density, bw, bd, aw, ad, np.maximum(bd, ad), flags])
 
 
 class Tree(NamedTuple):

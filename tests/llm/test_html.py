@@ -25,6 +25,11 @@ ART = "The report was read by all of the people who had come to the hall on that
         (f"<article><p>{ART}</p></article><section id=comments><article class=comment><p>{ART}</p></article></section>", ART),
         (f"<div class='cookie-banner'>We use cookies on this site to make it better for you.</div><article><p>{ART}</p><form><p>{ART}</p></form></article>", ART),
         (f"<body class='has-sidebar with-ads'><div class='sidebar-layout'><article><p>{ART}</p></article><div class=sidebar>{ART}</div></div></body>", ART),
+        (f"<div class='content-sidebar-wrap'><div class=content><p>{ART}</p></div><div class='ad-container'>{ART}</div><div id=page-footer><p>{ART}</p></div></div>", ART),
+        (f"<div class=site-notice><p>{ART}</p></div><div class='site-header'><p>{ART}</p></div><div id=main><p>{ART}</p><p>Yes.</p></div><ol class=comment-list><li>{ART}</li></ol>", f"{ART}\nYes."),
+        (f"<header><h1>The site</h1></header><article><header><h1>Its title</h1></header><p>{ART}</p></article>", f"Its title\n{ART}"),
+        (f"<article><p>{ART}</p><ul><li><a href=1>{ART}</a></li><li><a href=2>{ART}</a></li><li><a href=3>{ART}</a></li></ul></article>", ART),
+        (f"<article><p>{ART}</p><p><a href=1>{ART}</a></p><p>{ART}</p></article>", f"{ART}\n{ART}\n{ART}"),
         (f"<article><p>{ART}</p><p>cut off <a hre", f"{ART}\ncut off"),
         (f"<article><p>{ART}</p><!-- never closed <p>x</p>", ART),
         (f"<article><p>{ART}</p><script>never closed <p>x</p>", ART),
