@@ -41,7 +41,7 @@ _ODD = np.uint64(0xD6E8FEB86659FD93)
 def _squeezed(x: np.ndarray) -> bytes:
     """Little-endian values by byte plane, compressed: high bytes of sorted hashes and small counts are nearly free."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T) if len(x) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _opened(b: bytes, kind: str) -> np.ndarray:
