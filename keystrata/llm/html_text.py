@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template iframe svg canvas object textarea select title head math audio video".split())
+#: Those that hold no tags: a slash at the end of their start tag (or of an unquoted value) doesn't close them.
+UNPARSED = frozenset(("script", "style", "textarea", "title"))
 #: Elements that end a block where they begin and end.
 BLOCK = frozenset(
     "p div section article main nav header footer aside form fieldset h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
@@ -121,6 +123,14 @@ def blocks(html: str | None) -> list[Block]:
         if in_link:
             linked.append(text)
 
+    ends: dict[str, re.Match[str] | None] = {}
+
+    def end_tag(name: str, at: int) -> re.Match[str] | None:
+        """The next end tag of that name; each part of the page is searched once."""
+        if name not in ends or (known := ends[name]) and known.start() < at:
+            ends[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(html, at)
+        return ends[name]
+
     at, size = 0, len(html)
     while at < size:
         lt = html.find("<", at)
@@ -165,11 +175,14 @@ def blocks(html: str | None) -> list[Block]:
                 parts.append(" ")
             continue
         if name in RAW and not (name == "head"):
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.IGNORECASE).search(html, at) if not attrs.rstrip().endswith("/") else None
+            slash = attrs.rstrip().endswith("/")
+            close = end_tag(name, at) if name in UNPARSED or not slash else None
+            if close and slash and re.compile(rf"<{name}(?=[\s/>])", re.IGNORECASE).search(html, at, close.start()):
+                close = None  # that end tag is a later element's
             if close:
                 end = html.find(">", close.end())
                 at = size if end < 0 else end + 1
-            elif name in ("script", "style", "textarea", "title"):
+            elif name in UNPARSED and not slash:
                 at = size
             if name in BLOCK:
                 flush()

@@ -40,6 +40,20 @@ def test_cases(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("tag", ['<script src="/a.js"/></script>', "<script src=//cdn.x/lib/></script>", "<script src=//cdn.x/lib/>var t='<p>no</p>';</SCRIPT >", "<style media=a/>p{}</style>", "<title/>Site</title>", "<textarea name=a/>no</textarea>", "<script src='/a.js' />"])
+def test_slash_in_the_start_tag_of_an_unparsed_element(tag):
+    page = f"<head>{tag}</head><article><p>{ART}</p></article>"
+    assert html_text.main_text(page) == ART
+    # a later element's end tag isn't this one's
+    name = re.match(r"<(\w+)", tag)[1]
+    assert html_text.main_text(f"{page}<{name}>no</{name}>") == ART
+
+
+def test_slashed_unparsed_elements_stay_linear():
+    for tail in ("", "</script>"):
+        assert html_text.main_text("<script/>" * 100_000 + ART + tail) in (ART, "")
+
+
 def test_tree_fits_its_table_and_holds_out():
     x, y = html_labels.labelled_table()
     assert (html_text.default_tree().predict(x) == y).mean() > 0.96
