@@ -52,7 +52,8 @@ GOOD_TOKENS = frozenset("article content main post entry story articlebody".spli
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _ROUGH = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+#: Values are taken whole, so that what is written inside another attribute's value isn't an attribute.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -73,8 +74,10 @@ def _cue(name: str, attrs: str) -> tuple[bool, bool, bool]:
     bad, header, good = name in BAD_NAMES, name == "header", name in GOOD_NAMES
     if attrs and name not in ("html", "body"):
         for key, a, b, c in _ATTR.findall(attrs):
-            value = a or b or c
-            if key.lower() == "role":
+            value, key = a or b or c, key.lower()
+            if key not in ("class", "id", "role"):
+                continue
+            if key == "role":
                 bad |= value.strip().lower() in BAD_ROLES
                 good |= value.strip().lower() in ("main", "article")
                 continue
@@ -198,7 +201,7 @@ def blocks(html: str | None) -> list[Block]:
                 continue
         if name in BLOCK:
             flush()
-            cue = _cue(name, attrs if len(attrs) < 2000 else "")
+            cue = (_cue if len(attrs) < 2000 else _cue.__wrapped__)(name, attrs)  # long ones aren't cached
             if name in VOID:
                 continue
             if name in LOOSE:

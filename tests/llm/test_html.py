@@ -54,6 +54,24 @@ def test_slashed_unparsed_elements_stay_linear():
         assert html_text.main_text("<script/>" * 100_000 + ART + tail) in (ART, "")
 
 
+@pytest.mark.parametrize("n", [10, 10_000])
+def test_attributes_of_any_length_are_read(n):
+    style = f"style='background:url(data:image/png;base64,{'A' * n})'"
+    for one in ("class=sidebar", "class=ad", "class='cookie-banner'", "id=comments", "role=navigation"):
+        for attrs in (f"{one} {style}", f"{style} {one}"):
+            assert html_text.main_text(f"<article><p>{ART}</p></article><div {attrs}><p>{ART}</p></div>") == ART
+            assert html_text.blocks(f"<div {attrs}>x</div>")[0].bad
+    for one in ("id=content", "role=main"):
+        assert html_text.blocks(f"<div {one} data-x='{'y' * n}'>x</div>")[0].good
+    # not an attribute: part of another one's value
+    assert not html_text.blocks(f"""<div data-html="<p class='ad' id=footer>{'y' * n}">x</div>""")[0].bad
+
+
+def test_long_attributes_stay_linear():
+    for attrs in ("id " * 100_000, "id=" * 100_000, 'id="' * 100_000, "id = '" * 100_000, "id" + " " * 300_000, "a'\"" * 100_000, "=" * 300_000):
+        assert isinstance(html_text.main_text(f"<div {attrs}>{ART}</div>"), str)
+
+
 def test_tree_fits_its_table_and_holds_out():
     x, y = html_labels.labelled_table()
     assert (html_text.default_tree().predict(x) == y).mean() > 0.96
