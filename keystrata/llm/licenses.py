@@ -2,8 +2,8 @@
 
 A text is lower-cased, its copyright lines go, every run of anything but letters and digits becomes one space,
 and equivalent spellings become one.  Its SHA-256 is hash-joined to the digests of the known texts, which are
-made by the same expressions.  The known side is the constant table of ``license_texts`` (some dozens of rows),
-so broadcasting it is bounded.  One-line notices are looked up the same way, line by line, within the row.
+made by the same expressions, or to digests alone where the text is long (Apache, GPL, LGPL, MPL, CC).  The known
+side is the constant table of ``license_texts`` (some dozens of rows), so broadcasting it is bounded.  One-line notices are looked up the same way, line by line, within the row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, SPELLINGS, TEXTS
+from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 #: A line that states a copyright, with what may stand before it in a comment.
 COPYRIGHT_LINE = r"(^|\n)[\x20\t\r*/#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
@@ -36,8 +36,9 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """``known_digest, license_id`` of the whole texts and the notices, a row per digest."""
-    rows = F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("t")) for i, t in TEXTS + NOTICES))
-    return spark.range(1).select(F.inline(rows)).groupBy(digest(F.col("t")).alias("known_digest")).agg(F.min("license_id").alias("license_id"))
+    row = lambda i, d: F.struct(F.lit(i).alias("license_id"), d.alias("known_digest"))
+    rows = F.array(*(row(i, digest(F.lit(t))) for i, t in TEXTS + NOTICES), *(row(i, F.lit(d)) for i, d in DIGESTS))
+    return spark.range(1).select(F.inline(rows)).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
 def _notices(text: Column) -> Column:

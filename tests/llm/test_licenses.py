@@ -1,5 +1,8 @@
 import hashlib
 import re
+from pathlib import Path
+
+import pytest
 
 from keystrata.llm import licenses, license_texts
 
@@ -46,6 +49,24 @@ def test_each_known_text_is_found(spark):
     assert got == {k: i for k, (i, _) in enumerate(license_texts.TEXTS + license_texts.NOTICES)}
 
 
+FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+SHARED = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not SHARED.exists(), reason="the system has no licence texts")
+def test_full_texts(spark):
+    texts = {i: (SHARED / f).read_text() for f, i in FULL.items()}
+    end = "END OF TERMS AND CONDITIONS"
+    rows = [(i, t) for i, t in texts.items()] + [(i, t[: t.index(end) + len(end)]) for i, t in texts.items() if end in t] + [(i, t[: t.index(end)]) for i, t in texts.items() if end in t]
+    rows += [("none", t + " more") for t in texts.values()] + [("none", t[: len(t) // 2]) for t in texts.values()]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id, r.license_id or "none") for r in got) == sorted((i, i) for i, _ in rows)
+
+
+def test_digests_are_distinct():
+    assert len({d for _, d in license_texts.DIGESTS}) == len(license_texts.DIGESTS) and all(re.fullmatch("[0-9a-f]{64}", d) for _, d in license_texts.DIGESTS)
+
+
 def test_no_python_in_the_plan(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "BroadcastHashJoin" in plan
