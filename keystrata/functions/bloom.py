@@ -78,14 +78,35 @@ def build(df: DataFrame, key: str = "key", bits: int = MIN_BITS, hashes: int = 4
     return merge(parts.unionByName(none).withColumns({"bits": F.lit(bits).cast("long"), "hashes": F.lit(hashes)}))
 
 
-def merge(filters: DataFrame) -> DataFrame:
-    """Filters ``bits, hashes, n_added, filter`` joined by bitwise or, per shape."""
+def build_each(df: DataFrame, by: str, key: str = "key", bits: int = MIN_BITS, hashes: int = 4) -> DataFrame:
+    """One row ``by, bits, hashes, n_added, filter`` for each value of the text column ``by``, null included.
+
+    Each task sends one partial filter a value, never its keys.
+    """
+
+    def partial(it):
+        found: dict[str | None, list] = {}
+        for pdf in it:
+            for value, keys in pdf.groupby(by, dropna=False)[key]:
+                mine = found.setdefault(None if pd.isna(value) else value, [0, np.zeros(-(-bits // 8), np.uint8)])
+                keys = [bytes(k) for k in keys if k is not None]
+                mine[0] += len(keys)
+                mine[1] |= np.frombuffer(_filter_of(keys, bits, hashes), np.uint8)
+        if found:
+            yield pd.DataFrame({by: list(found), "n_added": [n for n, _ in found.values()], "filter": [out.tobytes() for _, out in found.values()]})
+
+    parts = df.select(F.col(by).cast("string").alias(by), F.col(key).cast("binary").alias(key)).mapInPandas(partial, f"`{by}` string, n_added long, filter binary")
+    return merge(parts.withColumns({"bits": F.lit(bits).cast("long"), "hashes": F.lit(hashes)}), by)
+
+
+def merge(filters: DataFrame, *by: str) -> DataFrame:
+    """Filters ``bits, hashes, n_added, filter`` joined by bitwise or, per shape (and text columns ``by``)."""
 
     def ored(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in pdf["filter"]])
-        return pd.DataFrame({"bits": pdf["bits"][:1], "hashes": pdf["hashes"][:1], "n_added": [pdf["n_added"].sum()], "filter": [out.tobytes()]})
+        return pd.DataFrame({**{c: pdf[c][:1] for c in by}, "bits": pdf["bits"][:1], "hashes": pdf["hashes"][:1], "n_added": [pdf["n_added"].sum()], "filter": [out.tobytes()]})
 
-    return filters.groupBy("bits", "hashes").applyInPandas(ored, "bits long, hashes int, n_added long, filter binary")
+    return filters.groupBy(*by, "bits", "hashes").applyInPandas(ored, "".join(f"`{c}` string, " for c in by) + "bits long, hashes int, n_added long, filter binary")
 
 
 def may_contain(key: Column | str, bits: int, hashes: int, data: bytes) -> Column:

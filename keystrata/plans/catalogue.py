@@ -96,6 +96,13 @@ def q_multi_get(spark, d):
     return scan.multi_get(version_log(spark, d), keys, "k", **HOW).select(*OUT)
 
 
+@query(KV + LIVE + " AND k IN (SELECT printf('u%06d/view', c_custkey) FROM customer)")
+def q_multi_get_all(spark, d):
+    """The keys of all customers, where ``q_multi_get`` looks up some."""
+    keys = _table(spark, d, "customer").select(_user_key("c_custkey", F.lit("view")).alias("k"))
+    return scan.multi_get(version_log(spark, d), keys, "k", **HOW).select(*OUT)
+
+
 @query(KV + LIVE + " AND k >= 'u000050' ORDER BY k LIMIT 10")
 def q_seek(spark, d):
     return scan.seek(version_log(spark, d), "u000050", 10, "k", **HOW).select(*OUT)
@@ -314,12 +321,10 @@ def q_bloom_filter(spark, d):
 
 @query(None)
 def q_bloom_merge(spark, d):
-    """Filters per language joined by or: bits, and how full the whole is."""
+    """Filters per language (null is one) joined by or: bits, and how full the whole is."""
     docs = _table(spark, d, "documents").select("lang", F.col("doc_id").cast("string").cast("binary").alias("key"))
-    parts = None
-    for lang in ("en", "de", "fr", "es"):
-        one = bloom.build(docs.filter(F.col("lang") == lang), bits=4096, hashes=3)
-        parts = one if parts is None else parts.unionByName(one)
+    none = bloom.build(docs.limit(0), bits=4096, hashes=3)  # a row where there are no documents
+    parts = bloom.build_each(docs, "lang", bits=4096, hashes=3).drop("lang").unionByName(none)
     return bloom.merge(parts).select("bits", "hashes", "n_added", F.round(bloom.fill_ratio("filter", "bits"), 6).alias("fill"))
 
 

@@ -43,6 +43,33 @@ def test_tombstones_hide_only_after_resolution(spark):
     assert right != wrong
 
 
+def test_lookups_by_the_keys_of_all_customers(spark):
+    d = "/root/testdata/sf0.01"
+    got = {r.k for r in QUERIES["q_multi_get_all"](spark, d).collect()}
+    live = {r.k for r in QUERIES["q_live"](spark, d).collect()}
+    customers = {r[0] for r in spark.read.parquet(f"{d}/customer.parquet").select("c_custkey").collect()}
+    assert got == {k for k in live if k.endswith("/view") and int(k[1:].split("/")[0]) in customers}
+    assert max(got) > "u000041" and len(got) > 41
+
+
+def test_lookups_by_skewed_keys(spark):
+    from keystrata.operators import scan
+
+    log = spark.createDataFrame([("a", s, False) for s in range(500)] + [("b", 1, False), ("c", 1, False), ("c", 2, True)], "k string, seq long, d boolean")
+    keys = spark.createDataFrame([("a",)] * 2000 + [("b",), ("c",), ("x",), (None,)], "k string")
+    got = scan.multi_get(log, keys, "k", seq="seq", deleted="d").select("k", "seq").collect()
+    assert sorted(map(tuple, got)) == [("a", 499), ("b", 1)]
+
+
+def test_bloom_merge_takes_every_language(spark, tmp_path):
+    langs = ["en", "de", "nl", None, "", None, "ja"]
+    rows = [(k, lang) for k, lang in enumerate(langs)] + [(None, "en")]
+    for part in (rows, []):
+        spark.createDataFrame(part, "doc_id long, lang string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = QUERIES["q_bloom_merge"](spark, str(tmp_path)).collect()
+        assert [r.n_added for r in got] == ([7] if part else [0])
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
