@@ -17,6 +17,7 @@ from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 COPYRIGHT_LINE = r"(^|\n)[\x20\t\r*/#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Lines that can be notices: others aren't digested.
 NOTICE_HINT = r"licen[cs]e|public domain"
+#: Only the SQL stops at lines of this length.
 NOTICE_CHARS = 200
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -44,7 +45,7 @@ def known(spark: SparkSession) -> DataFrame:
 def _notices(text: Column) -> Column:
     """Licences that lines of the text name, sorted, each once."""
     by_form = F.create_map(*(x for i, t in NOTICES for x in (canonical(F.lit(t)), F.lit(i))))
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) <= NOTICE_CHARS) & F.lower(x).rlike(NOTICE_HINT))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.lower(x).rlike(NOTICE_HINT))
     named = F.transform(lines, lambda x: F.try_element_at(by_form, canonical(x)))
     return F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isNotNull())))
 

@@ -49,6 +49,12 @@ def test_each_known_text_is_found(spark):
     assert got == {k: i for k, (i, _) in enumerate(license_texts.TEXTS + license_texts.NOTICES)}
 
 
+def test_notices_in_lines_of_any_length(spark):
+    rows = [(1, "/" + "*" * 300 + " Licensed under the MIT License. " + "*" * 5000 + "/"), (2, "x\n#" + " " * 250 + "Licensed under\tCC BY 4.0." + " -" * 150 + "\ny"), (3, "Licensed under the MIT License." + " and more" * 30)]
+    got = {r.doc_id: list(r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["CC-BY-4.0"], 3: []}
+
+
 FULL = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
 SHARED = Path("/usr/share/common-licenses")
 
