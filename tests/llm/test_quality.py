@@ -43,6 +43,14 @@ def test_verdict(spark):
     assert quality.scored(df.limit(0)).count() == 0
 
 
+def test_no_text_fails_for_its_size_alone(spark):
+    long = " ".join(f"the house{k} of river{k} was by it{k}" for k in range(150_000))
+    df = spark.createDataFrame([(1, long), (2, "word " * 1_000_001)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.kept) for r in quality.scored(df).collect()}
+    assert got == {1: (1_050_000, True), 2: (1_000_001, False)}
+    assert [r.doc_id for r in quality.passing(df).select("doc_id").collect()] == [1]
+
+
 def test_no_python_in_the_plan(spark):
     plan = quality.passing(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
