@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, fresh, written
@@ -59,14 +59,21 @@ def _fingerprints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """``doc_id, fp`` (signed long) for each row; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints(words), "doc_id long, fp long")
+def _row_key() -> Column:
+    """Tells documents apart by id and whole text; never null."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit(":"), F.col("text").cast("string")), F.lit(""))), 256))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, keyed: bool = False) -> DataFrame:
+    """``doc_id, fp[, key]`` (signed long) for each row; a null text is empty."""
+    key = [_row_key().alias("key")] * keyed
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *key)
+    return of.mapInArrow(_fingerprints(words), "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -225,6 +232,13 @@ def links(nodes: DataFrame, max_diff: int = 4, bucket_rows: int = 100_000, max_c
     return rows.repartition("free", "key").sortWithinPartitions("free", "key").mapInArrow(_bucket_links(max_diff), "u long, v long")
 
 
+def _roots(rows: DataFrame, max_diff: int) -> DataFrame:
+    """``fp, low, root``: the smallest id of each distinct fingerprint and its component."""
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    root = connected_components(links(nodes.select("fp"), max_diff))
+    return written(nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
@@ -233,9 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataF
     component of null ids alone has a null.  Extra columns are ignored.
     """
     rows = written(fingerprints(docs, words), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    root = connected_components(links(nodes.select("fp"), max_diff))
-    named = written(nodes.join(root, nodes["fp"] == root["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "named")
+    named = _roots(rows, max_diff)
     # written too, so that the join can split a component that holds very many fingerprints
     low = written(named.groupBy("root").agg(F.min("low").alias("component_id")), "components")
     of = named.select("fp", "root").join(low, "root").select(F.col("fp").alias("_fp"), "component_id")
@@ -245,13 +257,18 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataF
 def deduplicated(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataFrame:
     """The rows of ``docs`` less all but one of each near-duplicate component (the smallest ``doc_id`` stays).
 
-    Rows that repeat a ``doc_id`` count as one document: one of them stays.  Where every id of a component
-    is null its rows stay, as they cannot be told apart.
+    Where rows of a component share that id, the least by fingerprint and digest of the text stays, so a
+    ``doc_id`` stays once for each component it is the smallest of.  Of a component's rows without an id
+    one stays too.
     """
-    found = near_duplicates(docs, words, max_diff)
-    stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    alone = docs.filter(F.col("doc_id").isNull())
-    kept = docs.join(stays, docs["doc_id"] == stays["_stays"], "left_semi")
-    nth = fresh(docs, "_nth")
-    one = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).filter(F.col(nth) == 1).drop(nth)
-    return one.unionByName(alone)
+    rows = written(fingerprints(docs, words, keyed=True), "fingerprints")
+    of = _roots(rows, max_diff).select(F.col("fp").alias("_fp"), "root")
+    # first per fingerprint, so that a hot one is a few rows where it meets its component
+    least = F.min(F.struct("doc_id", "fp", "key")).alias("least")
+    first = rows.groupBy("fp", F.col("doc_id").isNull().alias("unnamed")).agg(least)
+    first = first.join(of, first["fp"] == of["_fp"]).groupBy("root", "unnamed").agg(F.min("least").alias("least"))
+    key, nth = fresh(docs, "_key"), fresh(docs, "_nth")
+    stays = first.select(F.col("least.key").alias("_stays"))
+    kept = docs.withColumn(key, _row_key())
+    kept = kept.join(stays, kept[key] == stays["_stays"], "left_semi")
+    return kept.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).filter(F.col(nth) == 1).drop(key, nth)

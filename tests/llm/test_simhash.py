@@ -125,3 +125,15 @@ def test_empty_and_deduplicated(spark):
     out = simhash.deduplicated(df)
     assert sorted(r.doc_id for r in out.collect()) == [2, 9]
     assert simhash.deduplicated(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_deduplicated_by_component(spark):
+    a, b, c = ("the %s of a distant shore was seen by no one else on that day" % w for w in ("first light of lamps", "grey stones and old nets", "captain who lost his way"))
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, c), *[(None, c)] * 50, (None, b), (3, b)]
+    assert len({brute_fp(t) for t in (a, b, c)}) == 3
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, t, "x") for i, t in some], "doc_id long, text string, _key string")
+        out = simhash.deduplicated(df)
+        assert out.columns == df.columns
+        # a stays under 1; the other text of id 2 stays although its namesake went; c's copies are one row
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (None, b), (None, c)], key=str)
