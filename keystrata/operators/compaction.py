@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .resolve import fresh
+
 
 def plan_level0(files: Sequence[dict], threshold: int = 4) -> list[dict]:
     """All files of level 0 if there are at least ``threshold`` (4 if it isn't positive), else none."""
@@ -23,8 +25,20 @@ def plan(files: Sequence[dict]) -> list[dict]:
 def plan_level0_frame(files: DataFrame, threshold: int = 4) -> DataFrame:
     """``plan_level0`` over a DataFrame of file metadata."""
     threshold = threshold if threshold > 0 else 4
-    low = files.filter(F.col("level") == 0)
-    return low.withColumn("_n", F.count("*").over(Window.partitionBy("level"))).filter(F.col("_n") >= threshold).drop("_n")
+    low, n = files.filter(F.col("level") == 0), fresh("_n", files)
+    return low.withColumn(n, F.count("*").over(Window.partitionBy("level"))).filter(F.col(n) >= threshold).drop(n)
+
+
+def plan_frame(files: DataFrame, order: str = "name") -> DataFrame:
+    """``plan`` over a DataFrame of file metadata, whose rows come in the order of ``order``.
+
+    Metadata has a row a run, so one task for it is no bottleneck.
+    """
+    n, low, at = fresh("_n", files), fresh("_low", files), fresh("_at", files)
+    whole = Window.partitionBy()
+    ranked = files.withColumns({n: F.count("*").over(whole), low: F.count(F.when(F.col("level") == 0, 1)).over(whole), at: F.row_number().over(Window.orderBy(order))})
+    taken = F.when(F.col(low) >= 2, F.col("level") == 0).otherwise((F.col(n) >= 2) & (F.col(at) <= 2))
+    return ranked.filter(taken).drop(n, low, at)
 
 
 def pick_by_size(files: DataFrame, n: int, size: str = "file_size", name: str = "name") -> DataFrame:

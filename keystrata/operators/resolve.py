@@ -9,26 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(versions: DataFrame, key: Sequence[str], seq: str, src: str | None, name: str) -> DataFrame:
-    order = [F.col(seq).desc()] + ([F.col(src).asc()] if src else [])
-    return versions.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like ``name`` that none of the frames has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def _name(df: DataFrame) -> str:
-    n = "_rn"
-    while n in df.columns:
-        n += "_"
-    return n
+def newest(rows: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
+    """The first row of each key in the given order."""
+    n = fresh("_rn", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) == 1).drop(n)
 
 
 def resolve(versions: DataFrame, key: str | Sequence[str] = "key", seq: str = "seq", src: str | None = None) -> DataFrame:
     """The version with the greatest ``seq`` of each key, tombstones included; on ties the least ``src``."""
-    keys, n = ([key] if isinstance(key, str) else list(key)), _name(versions)
-    return _ranked(versions, keys, seq, src, n).filter(F.col(n) == 1).drop(n)
+    return newest(versions, [key] if isinstance(key, str) else list(key), F.col(seq).desc(), *([F.col(src).asc()] if src else []))
 
 
 def visible(versions: DataFrame, key: str | Sequence[str] = "key", seq: str = "seq", deleted: str = "deleted", src: str | None = None) -> DataFrame:
@@ -40,11 +41,11 @@ def merge(runs: Sequence[DataFrame], drop_tombstones: bool = False, key: str = "
     """Runs merged to one version a key; on equal ``seq`` the earlier run wins."""
     if not runs:
         raise ValueError("nothing to merge")
-    out = None
+    out, src = None, fresh("_src", *runs)
     for i, r in enumerate(runs):
-        r = r.withColumn("_src", F.lit(i))
+        r = r.withColumn(src, F.lit(i))
         out = r if out is None else out.unionByName(r)
-    out = resolve(out, key, seq, "_src").drop("_src")
+    out = resolve(out, key, seq, src).drop(src)
     return out.filter(~F.col(deleted)) if drop_tombstones else out
 
 

@@ -34,6 +34,16 @@ FILE_META_SCHEMA = T.StructType(
         T.StructField("file_size", T.LongType(), False),
     ]
 )
+LOG_SCHEMA = T.StructType(
+    [
+        T.StructField("writer", T.StringType(), False),
+        T.StructField("frame", T.LongType(), False),
+        T.StructField("ord", T.LongType(), False),
+        T.StructField("key", T.BinaryType(), False),
+        T.StructField("value", T.BinaryType(), True),
+        T.StructField("deleted", T.BooleanType(), False),
+    ]
+)
 STATS_SCHEMA = T.StructType([T.StructField(n, T.LongType(), False) for n in ("memtable_bytes", "memtable_keys", "sst_files", "wal_size")])
 
 
@@ -61,8 +71,12 @@ class Conflict(KeystrataError):
     """Another writer has committed the manifest version that this one wanted."""
 
 
+class Damaged(KeystrataError):
+    """The log has a broken frame that isn't its torn tail."""
+
+
 class SyncPolicy(Enum):
-    """Accepted and recorded; a commit is durable in any case."""
+    """When the log of single mutations is durable: at once, every ``sync_every_n`` of them, or at ``sync`` only."""
 
     FULL = 0
     BATCH = 1

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.resolve import resolve
 from ..sources.table import Table
 
 
@@ -20,10 +19,16 @@ def latest(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(won.alias("v")).select("key", "v.value", "v.seq", "v.deleted")
 
 
-def into_table(stream: DataFrame, table: Table, checkpoint: str, order: str = "seq", **trigger) -> StreamingQuery:
-    """Append each micro-batch of ``key, value, deleted, <order>`` to a table as one run, reduced to its newest versions first."""
+def into_table(stream: DataFrame, table: Table, checkpoint: str, order: str = "seq", name: str | None = None, **trigger) -> StreamingQuery:
+    """Append each micro-batch of ``key, value, deleted, <order>`` to a table as one run, reduced to its newest versions.
 
-    def append(batch: DataFrame, _: int) -> None:
-        table.write_frame(resolve(batch, seq=order).select("key", "value", "deleted", F.col(order).alias("ord")))
+    ``order`` becomes the sequence number, so a version that comes late doesn't beat a newer one.  The number of
+    the last batch is committed with its run under ``name`` (the checkpoint's place by default): a batch that is
+    delivered again after a failure is passed over.
+    """
+
+    def append(batch: DataFrame, number: int) -> None:
+        rows = batch.select("key", "value", "deleted", F.col(order).cast("long").alias("seq"))
+        table.append_versions(rows, name or checkpoint, number)
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -34,3 +34,23 @@ def test_stream_into_table(spark, tmp_path):
         s = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
         into_table(s, t, f"{tmp_path}/ck").awaitTermination()
     assert [(bytes(r.key), bytes(r.value)) for r in t.scan().collect()] == [(b"a", b"2"), (b"c", b"y")]
+
+
+def test_late_and_repeated_batches(spark, tmp_path):
+    src = f"{tmp_path}/in"
+    t = Table.open(spark, f"file://{tmp_path}/t")
+
+    def run():
+        s = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(src)
+        into_table(s, t, f"{tmp_path}/ck", name="feed").awaitTermination()
+
+    feed(spark, src, [(b"a", b"new", 9, False)], 0)
+    run()
+    feed(spark, src, [(b"a", b"late", 2, False), (b"b", b"x", 3, False), (b"b", b"y", 3, False)], 1)
+    run()
+    assert {bytes(r.key): (bytes(r.value), r.seq) for r in t.scan().collect()} == {b"a": (b"new", 9), b"b": (b"y", 3)}
+    again = spark.createDataFrame([(bytearray(b"a"), bytearray(b"again"), 99, False)], SCHEMA)
+    assert not t.append_versions(again, "feed", 1) and t.get(b"a") == b"new"
+    assert t.append_versions(again, "feed", 2) and t.get(b"a") == b"again"
+    t.put(b"a", b"after")
+    assert t.get(b"a") == b"after" and t.max_seq() == 100
