@@ -99,19 +99,49 @@ def build_each(df: DataFrame, by: str, key: str = "key", bits: int = MIN_BITS, h
     return merge(parts.withColumns({"bits": F.lit(bits).cast("long"), "hashes": F.lit(hashes)}), by)
 
 
+#: Groups that partial filters meet in before the last step.
+MERGE_FAN = 32
+
+
 def merge(filters: DataFrame, *by: str) -> DataFrame:
-    """Filters ``bits, hashes, n_added, filter`` joined by bitwise or, per shape (and text columns ``by``)."""
+    """Filters ``bits, hashes, n_added, filter`` joined by bitwise or, per shape (and text columns ``by``).
+
+    In two steps, each a running "or" that holds one filter a shape: the last task reads ``MERGE_FAN`` filters of
+    a shape, however many there are.
+    """
+    keys = [*by, "bits", "hashes"]
+    schema = "".join(f"`{c}` string, " for c in by) + "bits long, hashes int, n_added long, filter binary"
+
+    def ored(it):
+        found: dict[tuple, list] = {}
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                *key, added, data = row
+                key = tuple(None if pd.isna(k) else k for k in key)
+                mine = found.setdefault(key, [0, np.zeros(len(data), np.uint8)])
+                mine[0] += added
+                mine[1] |= np.frombuffer(data, np.uint8)
+        if found:
+            rows = [(*k, n, out.tobytes()) for k, (n, out) in found.items()]
+            yield pd.DataFrame(rows, columns=[*keys, "n_added", "filter"])
+
+    parts = filters.select(*keys, "n_added", "filter")
+    some = parts.repartition(*keys, F.pmod(F.xxhash64("filter"), F.lit(MERGE_FAN))).mapInPandas(ored, schema)
+    return some.repartition(*keys).mapInPandas(ored, schema)
 
-    def ored(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(f, np.uint8) for f in pdf["filter"]])
-        return pd.DataFrame({**{c: pdf[c][:1] for c in by}, "bits": pdf["bits"][:1], "hashes": pdf["hashes"][:1], "n_added": [pdf["n_added"].sum()], "filter": [out.tobytes()]})
 
-    return filters.groupBy(*by, "bits", "hashes").applyInPandas(ored, "".join(f"`{c}` string, " for c in by) + "bits long, hashes int, n_added long, filter binary")
+#: A filter beyond this isn't sent to the executors: look such keys up with a semi-join.
+MAX_PROBE_BYTES = 256 << 20
 
 
 def may_contain(key: Column | str, bits: int, hashes: int, data: bytes) -> Column:
-    """Whether a key may be in the filter (never false for one that is).  A filter of no bits holds everything."""
-    there = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").astype(bool)
+    """Whether a key may be in the filter (never false for one that is).  A filter of no bits holds everything.
+
+    The filter travels packed, once an executor (Spark broadcasts a function's data over a megabyte), and is
+    refused over ``MAX_PROBE_BYTES``.
+    """
+    if len(data) > MAX_PROBE_BYTES:
+        raise ValueError(f"a filter of {len(data)} bytes is too large to be sent; use a semi-join")
 
     @F.pandas_udf("boolean")
     def probe(k: pd.Series) -> pd.Series:
@@ -121,12 +151,29 @@ def may_contain(key: Column | str, bits: int, hashes: int, data: bytes) -> Colum
         if bits == 0:
             out[ok] = True
         elif keys:
-            out[ok] = there[positions(keys, bits, hashes).astype(np.int64)].all(axis=1)
+            at = positions(keys, bits, hashes)
+            packed = np.frombuffer(data, np.uint8)
+            out[ok] = ((packed[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
         return out
 
     return probe(_col(key).cast("binary"))
 
 
+def bit_positions(key: Column | str, bits: int, hashes: int) -> Column:
+    """The positions that a key sets, as an array in order of the hashes; null for null."""
+
+    @F.pandas_udf("array<long>")
+    def found(k: pd.Series) -> pd.Series:
+        ok = k.notna().to_numpy()
+        out = np.full(len(k), None, object)
+        at = positions([bytes(x) for x in k[ok]], bits, hashes).astype(np.int64) if ok.any() else []
+        for i, row in zip(np.flatnonzero(ok), at):
+            out[i] = row
+        return pd.Series(out)
+
+    return found(_col(key).cast("binary"))
+
+
 def fill_ratio(data: Column | str, bits: Column | str) -> Column:
     """Set bits over all bits."""
     ones = F.lit(0)

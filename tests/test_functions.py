@@ -117,3 +117,18 @@ def test_bloom(spark):
     fill = whole.select(bloom.fill_ratio("filter", "bits").alias("r")).first().r
     assert fill == pytest.approx(sum(bin(x).count("1") for x in bytes(a["filter"])) / bits)
     assert bloom.build(df.limit(0), "x", 64, 2).first().n_added == 0
+    with pytest.raises(ValueError):
+        bloom.may_contain("x", 8 * bloom.MAX_PROBE_BYTES + 8, 1, bytes(bloom.MAX_PROBE_BYTES + 1))
+
+
+def test_previous_rows_across_partitions(spark):
+    from keystrata.operators.neighbours import with_previous
+
+    values = [("b", 2), ("a", 1), ("c", 3), ("a", 4), (None, 5)] + [(f"k{k:03d}", k) for k in range(100)]
+    for rows in (values, values[:1], []):
+        df = spark.createDataFrame(rows, "x string, _part int")
+        got = with_previous(df, "x", ["x", "_part"], "p", partitions=5)
+        assert got.columns == ["x", "_part", "p"]
+        order = sorted(rows, key=lambda r: (r[0] is not None, r))
+        want = [(*r, order[i - 1][0] if i else None) for i, r in enumerate(order)]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
