@@ -35,27 +35,29 @@ WINDOW = 2048
 CLOSING_ID = 1
 
 
-@lru_cache(maxsize=2)
-def _encoders(vocabulary: str, ranks: str):
+@lru_cache(maxsize=4)
+def _encoders(vocabulary: str, ranks: str, special: bool):
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     slow = Tokenizer.from_file(vocabulary)
-    slow.encode_special_tokens = True
-    return fast, slow
+    slow.encode_special_tokens = not special
+    added = {t.content: i for i, t in slow.get_added_tokens_decoder().items()} if special else {}
+    fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+    return fast, slow, set(added)
 
 
-def encode(text: str | None, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> np.ndarray:
+def encode(text: str | None, vocabulary: str = VOCABULARY, ranks: str = RANKS, special: bool = True) -> np.ndarray:
     """The ids of ``vocabulary`` for one whole text, with the closing id; a null text is empty.
 
     ``ranks`` holds the same merges in the form of a faster library, which gives the same ids; a text that
-    it refuses (a run of white space deeper than its stack) goes to the slower one.
+    it refuses (a run of white space deeper than its stack) goes to the slower one.  The string of an added token
+    (``<|endoftext|>``) is that token, as the named tokenizer has it, or ordinary text without ``special``.
     """
     if not text:
         return np.array([CLOSING_ID], "<u4")
-    fast, slow = _encoders(vocabulary, ranks)
+    fast, slow, added = _encoders(vocabulary, ranks, special)
     try:
-        ids = fast.encode_to_numpy(text, disallowed_special=())
+        ids = fast.encode_to_numpy(text, allowed_special=added, disallowed_special=())
     except BaseException as e:  # the library's panics don't derive from Exception
         if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
             raise
@@ -66,7 +68,7 @@ def encode(text: str | None, vocabulary: str = VOCABULARY, ranks: str = RANKS) -
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(window: int, with_ids: bool, vocabulary: str, ranks: str):
+def _pieces(window: int, with_ids: bool, vocabulary: str, ranks: str, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -74,7 +76,7 @@ def _pieces(window: int, with_ids: bool, vocabulary: str, ranks: str):
                 rows: list[tuple] = []
                 kept: list[np.ndarray] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    ids = encode(text.as_py(), vocabulary, ranks)
+                    ids = encode(text.as_py(), vocabulary, ranks, special)
                     for start in range(0, len(ids), window):
                         cut = ids[start : start + window]
                         rows.append((doc, start, len(cut), zlib.crc32(cut.tobytes()), len(ids)))
@@ -89,10 +91,10 @@ def _pieces(window: int, with_ids: bool, vocabulary: str, ranks: str):
     return run
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+def pieces(docs: DataFrame, window: int = WINDOW, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS, special: bool = True) -> DataFrame:
     """Each document cut at multiples of ``window``: ``doc_id, start, length, ids_crc32, doc_tokens[, ids]``."""
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return of.mapInArrow(_pieces(window, with_ids, vocabulary, ranks), PIECE + ", ids array<long>" * with_ids)
+    return of.mapInArrow(_pieces(window, with_ids, vocabulary, ranks, special), PIECE + ", ids array<long>" * with_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -156,15 +158,16 @@ def _pack_shard(window: int):
 SHARDS = 1 << 24
 
 
-def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = 50_000, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, shard_rows: int = 50_000, with_ids: bool = False, vocabulary: str = VOCABULARY, ranks: str = RANKS, special: bool = True) -> DataFrame:
     """The pieces of all documents with their places: ``sequence_id, offset``.
 
-    Null or empty texts are the closing id alone; null ids and repeated rows are packed like any other row.
+    Null or empty texts are the closing id alone; null ids and repeated rows are packed like any other row.  A very
+    long text is cut into as many windows as it fills, one text at a time in memory; an empty table gives no rows.
     Extra columns are ignored.  ``sequence_id`` is unique per sequence, not dense.
     """
     if window < 1:
         raise ValueError("window must be positive")
-    cut = written(pieces(docs, window, with_ids, vocabulary, ranks), "pieces")
+    cut = written(pieces(docs, window, with_ids, vocabulary, ranks, special), "pieces")
     full = cut.filter(F.col("length") == window)
     rest = cut.filter(F.col("length") < window)
     spread = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())

@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from keystrata.llm import packing
@@ -10,9 +12,7 @@ from keystrata.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.VOCABULARY)
 
 
 TEXTS = [None, "", " ", "\n\n  \t x", "Hello, world! it's <|endoftext|> é漢字 🙂 12345", "a" * 3000, "word " * 5000, " " * 5000, "\x00\x0b\x1c", "don't we'll x y"]
@@ -24,6 +24,18 @@ def test_same_ids(tokenizer, text):
     assert packing.encode(text).tolist() == want
 
 
+def test_added_tokens(tokenizer):
+    text = "a <|endoftext|> b<|endoftext|><|endoftext|>\n <|endoftext| >x"
+    assert packing.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+    assert packing.encode(text).tolist().count(50256) == 3 and 50256 not in packing.encode(text, special=False)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "\n", "a", "don't", "é", "漢", "  \t", "12", "word"]), max_size=25).map("".join))
+def test_same_ids_of_any_text(tokenizer, text):
+    assert packing.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids + [1]
+
+
 def brute_best_fit(lengths, window):
     left, where = [], {}
     for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):

@@ -46,7 +46,6 @@ def test_stages_against_brute_force(spark):
     rows = [r for r in rows if r["doc_id"] in ids]
 
     t = Tokenizer.from_file(packing.VOCABULARY)
-    t.encode_special_tokens = True
     tokens = {r["doc_id"]: np.array(t.encode(r["text"], add_special_tokens=False).ids + [1], "<u4") for r in rows}
     got = corpus_pipeline.run(spark, sf).collect()
     covered, places = defaultdict(int), defaultdict(list)
