@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, plus signs, digits, schemes and identifier cues.  From each
-anchor a deterministic local parser expands to the boundaries of the value and validates it; no text is
-scanned twice and every parser is linear in the run it expands.
+anchor a deterministic local parser expands to the boundaries of the value and validates it.  No run is expanded
+twice, also where its value is refused, so the work is linear in the text.  Cues match in any case of A-Z.
 
 Base kinds, leftmost and non-overlapping per kind (``email``, ``ip``, ``card``, ``phone``), are those of the
 patterns in ``BASE_PATTERNS``, which only the tests compile.  Further kinds: ``account`` (identifier after
@@ -41,8 +41,11 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[\x20-]?[0-9])*")
 _DIALLED = re.compile(r"[\x20().0-9-]+")
 _ACCOUNT = re.compile(r"(?i:[\x20_-]?(?:number|no|nr|num|id)\b\.?)?[\x20]?[:#=]?[\x20]?([A-Z]{0,4}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])", re.ASCII)
-_SECRET = re.compile(r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9+/_.=-]{8,})")
-_USERINFO = re.compile(r"[^\s/?#@\"'<>]+:[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+_ASSIGNED = re.compile(r"[\x20]?[:=][\x20]?[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_USER = re.compile(r"[^\s/?#@\"'<>]+")
+_HOST = re.compile(r"@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
+_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 @lru_cache(maxsize=1)
@@ -55,8 +58,7 @@ def _anchors() -> ahocorasick.Automaton:
     a.add_word("://", ("scheme", 3))
     for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.title(), cue.upper()}:
-                a.add_word(form, (kind, len(form)))
+            a.add_word(cue, (kind, len(cue)))
     a.make_automaton()
     return a
 
@@ -77,7 +79,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: list[tuple[str, int, int]] = []
     done = dict.fromkeys((*BASE, *ADDED, "at"), 0)
-    for last, (anchor, width) in _anchors().iter(text):
+    refused = 0  # where the last run ends that holds no secret: a later part of it holds none either
+    for last, (anchor, width) in _anchors().iter(text.translate(_LOWER)):
         at = last + 1 - width
         if anchor == "digit":
             if at >= done["ip"]:
@@ -116,16 +119,20 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
                 begin = at
                 while begin > done["url"] and (text[begin - 1].isalnum() or text[begin - 1] in "+.-") and text[begin - 1].isascii():
                     begin -= 1
-                if begin < at and (m := _USERINFO.match(text, at + 3)):
-                    found.append(("url", begin, m.end()))
-                    done["url"] = m.end()
-            elif at and (text[at - 1].isalnum() and anchor == "account"):
-                continue
-            elif m := (_ACCOUNT if anchor == "account" else _SECRET).match(text, last + 1):
-                value = m[1]
-                if sum(c.isdigit() for c in value) >= (4 if anchor == "account" else 2):
+                # name and password are one run up to the at-sign with a colon inside
+                if begin < at and (m := _USER.match(text, at + 3)) and ":" in m[0][1:-1] and (host := _HOST.match(text, m.end())):
+                    found.append(("url", begin, host.end()))
+                    done["url"] = host.end()
+            elif anchor == "account":
+                if not (at and text[at - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)) and sum(c.isdigit() for c in m[1]) >= 4:
                     found.append((anchor, m.start(1), m.end(1)))
                     done[anchor] = m.end(1)
+            elif (m := _ASSIGNED.match(text, last + 1)) and m.end() >= refused and (m := _SECRET.match(text, m.end())):
+                if sum(c.isdigit() for c in m[0]) >= 2:
+                    found.append((anchor, m.start(), m.end()))
+                    done[anchor] = m.end()
+                else:
+                    refused = m.end()
     found.sort(key=lambda x: (x[1], RANK[x[0]]))
     return found
 
@@ -136,7 +143,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(7)]
         for text in batch.column(1):
             spans = find(text.as_py())
             base = [s for s in spans if s[0] in BASE]
@@ -144,14 +151,19 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols[k].append(sum(s[0] == kind for s in base))
             cols[4].append(hashlib.sha256(joined(base).encode()).hexdigest())
             cols[5].append(joined(spans))
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            cols[6].append(len(spans))
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, counts of base kinds, digest of base spans, all spans.  Null texts have none; extra columns are ignored."""
+    """Per row: ``doc_id``, counts of base kinds, digest of base spans, all spans and their number.
+
+    Null and empty texts have none; null ids and repeated rows each give a row, very long texts are read whole in
+    time linear in their length, an empty table gives no rows; extra columns are ignored.
+    """
     of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return of.mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return of.mapInArrow(_report, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str | None) -> str | None:

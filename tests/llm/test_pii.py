@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -54,6 +55,59 @@ def test_added_kinds():
     assert pii.find("the accountant took no account of tokens, a secret: unknown words; 10 accounts") == []
 
 
+#: The added kinds as whole patterns after their cue, tried at every cue.
+PATTERNS = {
+    "account": (pii.ACCOUNT_CUES, pii._ACCOUNT.pattern, 4),
+    "secret": (pii.SECRET_CUES, r"[\x20]?[:=][\x20]?[\"']?([A-Za-z0-9+/_.=-]{8,})", 2),
+}
+
+
+def brute_added(text):
+    out = []
+    for kind, (cues, pattern, least) in PATTERNS.items():
+        done = 0
+        cue = re.compile("(?=(" + "|".join(cues) + "))", re.I | re.A)
+        for m in sorted(cue.finditer(text), key=lambda m: m.end(1)):
+            a, b = m.span(1)
+            if a < done or kind == "account" and a and text[a - 1].isalnum():
+                continue
+            if (v := re.compile(pattern, re.A).match(text, b)) and sum(c.isdigit() for c in v[1]) >= least:
+                out.append((kind, *v.span(1)))
+                done = v.end(1)
+    done = 0
+    for m in re.finditer("://", text):
+        if m.start() < done:
+            continue
+        head = re.search(r"[A-Za-z0-9+.-]+$", text[done : m.start()])
+        tail = re.compile(r"[^\s/?#@\"'<>]+:[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*").match(text, m.end())
+        if head and tail:
+            out.append(("url", done + head.start(), tail.end()))
+            done = tail.end()
+    return sorted(out, key=lambda x: (x[1], pii.RANK[x[0]]))
+
+
+PARTS = ["token", "apiKey", "API_KEY", "Password", "account", "IBAN", " no.", "id", "=", ":", " ", "\"", "://", "x", "@", "a1", "7", "12345", "DE", "-", "/", ".", "é", "\n", "secret", "abcdefgh"]
+
+
+@settings(max_examples=800, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+def test_added_kinds_against_patterns(text):
+    assert [s for s in pii.find(text) if s[0] in pii.ADDED] == brute_added(text)
+
+
+@pytest.mark.parametrize("unit", ["token=", "x://a:a:", "a:", "x://" + "a:" * 50, "a@", "1.1.1.", "4 ", "+1 ", "account 1", "iban A1 ", "secret: token=", "a@b.", "://", "é@"])
+def test_a_megabyte_of_anything_is_linear(unit):
+    text = ("x://" if unit == "a:" else "") + unit * ((1 << 20) // len(unit))
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 8  # some tenths of a second to two; quadratic would be hours
+
+
+def test_cues_in_any_case():
+    for cue in ("apiKey", "ApiKey", "API_KEY", "passWord", "toKen"):
+        assert [k for k, _, _ in pii.find(f"{cue} = a1b2c3d4e5")] == ["secret"]
+
+
 def test_frames(spark):
     rows = [(1, "write to a.b@c.example now, from 10.0.0.1", "x"), (1, "write to a.b@c.example now, from 10.0.0.1", "x"), (2, None, None), (None, "+1 (578) 555-6437", "y"), (3, "", "z"), (4, "clean text é", "w")]
     df = spark.createDataFrame(rows, "doc_id long, text string, spans string")
@@ -62,7 +116,7 @@ def test_frames(spark):
     for d, t, _ in rows:
         b = brute(t or "")
         s = ",".join(f"{k}:{x}:{y}" for k, x, y in b)
-        want.append((d, *(sum(k == q for k, _, _ in b) for q in pii.BASE), hashlib.sha256(s.encode()).hexdigest(), s))
+        want.append((d, *(sum(k == q for k, _, _ in b) for q in pii.BASE), hashlib.sha256(s.encode()).hexdigest(), s, len(b)))
     assert got == sorted(want, key=str)
     red = pii.redacted(df)
     assert red.columns == df.columns
