@@ -17,8 +17,6 @@ from .license_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 COPYRIGHT_LINE = r"(^|\n)[\x20\t\r*/#;-]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 #: Lines that can be notices: others aren't digested.
 NOTICE_HINT = r"licen[cs]e|public domain"
-#: Only the SQL stops at lines of this length.
-NOTICE_CHARS = 200
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -53,7 +51,8 @@ def _notices(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Per row: ``doc_id, digest, license_id`` (of the whole text; null if it is no known text) and ``notices``.
 
-    A null text has a null digest, no licence and no notices.  Null ids and repeated rows pass through; extra
+    A null text has a null digest, no licence and no notices; an empty one has the digest of nothing.  Null ids and
+    repeated rows pass through; very long texts and lines are read whole; an empty table gives no rows; extra
     columns are ignored.  If two licences had one canonical text the first by name would be given.
     """
     spark = docs.sparkSession
@@ -81,7 +80,7 @@ n AS (SELECT {form("t")} AS form, min(license_id) AS license_id FROM known WHERE
 d AS (SELECT row_number() OVER () AS rid, doc_id, text, sha256({form("text")}) AS digest FROM documents),
 l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT rid, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-      FROM (SELECT rid, {form("line")} AS form FROM l WHERE length(line) <= {NOTICE_CHARS} AND regexp_matches(lower(line), '{NOTICE_HINT}')) AS x JOIN n ON x.form = n.form GROUP BY rid)
+      FROM (SELECT rid, {form("line")} AS form FROM l WHERE regexp_matches(lower(line), '{NOTICE_HINT}')) AS x JOIN n ON x.form = n.form GROUP BY rid)
 SELECT doc_id, digest, license_id, coalesce(notices, '') AS notices
 FROM d LEFT JOIN k ON d.digest = k.known_digest LEFT JOIN m ON d.rid = m.rid
 """
