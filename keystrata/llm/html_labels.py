@@ -1,9 +1,18 @@
-"""A small hand-labelled table of text blocks, as pages: a block whose text begins with ``+`` is main text, with ``-`` it is not."""
+"""A small labelled table of text blocks, as pages: a block whose text begins with ``+`` is main text, with ``-`` it is not.
+
+``PAGES`` are written by hand; ``drawn_pages`` are put together from parts of known label, with and without element
+names and classes that say what they hold, with misleading ones and with end tags that are missing.
+"""
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 
+#: Pages drawn from parts.
+DRAWN = 300
+
 LONG = "+ The council met on Tuesday to discuss the plan for the old harbour, which has been closed to large ships since the storm of last winter, and agreed to ask the public."
 MEDIUM = "+ Work will begin in spring, the mayor said, and should take two years."
 SHORT = "+ Nobody objected."
@@ -61,18 +70,119 @@ PAGES = (
 )
 
 
+NAV = ("menu", "top-nav", "navbar", "main-navigation", "breadcrumbs", "toc")
+SIDE = ("sidebar", "side-rail", "widget widget_recent", "related-posts", "recommended-for-you")
+ADS = ("ad", "ad-slot", "promo-box", "sponsored", "banner top", "adsense-unit", "newsletter-signup", "cookie-notice", "alert alert-info", "subscribe-bar")
+FEET = ("footer", "site-footer", "copyright", "foot-links", "legal-links")
+TALK = ("comments", "comment-list", "responses", "reader-comments", "discussion-thread", "disqus_thread")
+#: Names that hint at boilerplate and hold the article, or say nothing.
+ODD = ("post side-by-side", "category-discussion tag-legal", "notice-of-sale", "search-engines-explained", "menu-of-the-week", "banner-year-review", "social-policy", "alert-fatigue-essay", "x17", "shell", "hero", "c-3")
+#: Names with a word that nobody knows, which hold boilerplate.
+HINTED = ("promo-summer", "acme-ad-2", "share-acme", "x-newsletter-z", "foo-related-bar")
+
+
+def drawn_pages(n: int = DRAWN, seed: int = 7) -> list[str]:
+    """The same pages whenever they are drawn."""
+    r = random.Random(seed)
+
+    def words(low: int, high: int, end: str = "") -> str:
+        return " ".join(r.choice(("sea", "harbour", "of", "the", "council", "a", "ship", "was", "storm", "and")) for _ in range(r.randint(low, high))) + end
+
+    def links(label: str, low: int, high: int, size: tuple[int, int], item: str = "li") -> str:
+        return "".join(f"<{item}><a href=/{k}>{label} {words(*size)}</a></{item}>" for k in range(r.randint(low, high)))
+
+    def said(element: str, names: tuple[str, ...], how: str, inner: str) -> str:
+        """The inner part in a container that says what it holds, or in one that doesn't."""
+        if how == "elements":
+            return f"<{element}>{inner}</{element}>"
+        return f"<div class='{r.choice(names)}'>{inner}</div>" if how == "classes" else f"<div>{inner}</div>"
+
+    def paragraph(label: str) -> str:
+        size = r.choice(((1, 4), (5, 14), (15, 40), (30, 110), (30, 110)))
+        text = words(*size, r.choice((".", ".", ".", "?", ":", "")))
+        kind = r.random()
+        if kind < 0.12 and size[1] > 14:
+            text = f"{text} <a href=x>{words(1, 5)}</a> {words(4, 20, '.')}"
+        elif kind < 0.16:
+            text = f"{text} <label>{words(1, 2)}</label> {words(2, 5, '.')}"
+        if kind > 0.97 and label == "+":
+            return f"<p><a href=y>{label} {words(5, 16)}</a></p>"
+        return f"<p>{label} {text}" + r.choice(("</p>", "</p>", ""))
+
+    def article(how: str) -> str:
+        body = [f"<h1>+ {words(2, 10)}</h1>"] * (r.random() < 0.8)
+        if r.random() < 0.2 and body:
+            body = [f"<header>{body[0]}<p>- {words(3, 7)}</p></header>"]
+        for _ in range(r.choice((1, 2, 3, 5, 8, 12))):
+            body.append(paragraph("+"))
+            x = r.random()
+            if x < 0.08:
+                body.append(f"<h2>+ {words(1, 6)}</h2>" + paragraph("+"))
+            elif x < 0.14:
+                body.append("<ul>" + "".join(f"<li>+ {words(1, 14, r.choice(('', '.')))}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+            elif x < 0.18:
+                body.append(f"<blockquote>+ {words(8, 40, '.')}</blockquote>")
+            elif x < 0.28 and how != "plain":
+                body.append(f"<div class='{r.choice(ADS + HINTED)}'>- {words(3, 18, r.choice(('.', '')))}</div>")
+        if r.random() < 0.25:
+            body.append("<ul>" + links("-", 3, 5, (4, 13)) + "</ul>")
+        inner = "".join(body)
+        if how == "elements":
+            return f"<{(e := r.choice(('article', 'article', 'main')))}{r.choice(('', '', ' class=' + chr(39) + r.choice(ODD) + chr(39)))}>{inner}</{e}>"
+        if how == "classes":
+            return f"<div class='{r.choice(('content', 'entry-content', 'post', 'article-body', 'story', *ODD))}'>{inner}</div>"
+        return r.choice((f"<div>{inner}</div>", inner, f"<table><tr><td>{inner}</td></tr></table>", f"<div class='{r.choice(ODD)}'>{inner}</div>"))
+
+    out = []
+    for _ in range(n):
+        how = r.choice(("elements", "elements", "classes", "classes", "plain"))
+        parts = []
+        menu = "<ul>" + links("-", 3, 9, (1, 3)) + "</ul>" if r.random() < 0.7 else links("-", 3, 6, (1, 3), r.choice(("div", "span")))
+        if r.random() < 0.25 and how != "plain":
+            parts.append(f"<div class='{r.choice(('site-notice', 'cookie-bar', 'alert', 'top-banner'))}'><p>- {words(3, 30, '.')}</p></div>")
+        if r.random() < 0.6:
+            parts.append(said("header", ("site-header", "masthead", "header"), how if how != "plain" else "classes", (f"<h1>- {words(1, 4)}</h1>" if r.random() < 0.6 else "") + f"<p>- {words(3, r.choice((8, 40)), r.choice(('', '.')))}</p>"))
+        if r.random() < 0.85:
+            nav = said("nav", NAV, how, menu)
+            parts.append(nav.replace("</nav>", "") if r.random() < 0.25 else nav)
+        if r.random() < 0.5 and how != "plain":
+            parts.append(f"<div class='{r.choice(ADS)}'>- {words(3, 25, r.choice(('.', '')))}</div>")
+        parts.append(article(how))
+        if r.random() < 0.4:
+            parts.append(said("aside", SIDE, how, f"<h3>- {words(1, 3)}</h3><ul>{links('-', 3, 7, (2, 12))}</ul>"))
+        elif r.random() < 0.3 and how != "plain":
+            parts.append(said("aside", SIDE, how, f"<h3>- {words(1, 3)}</h3><p>- {words(8, 40, '.')}</p>"))
+        if r.random() < 0.4:
+            talk = "".join(f"<div class=comment><p>- {words(2, 60, '.')}</p></div>" for _ in range(r.randint(1, 9)))
+            parts.append(f"<section id='{r.choice(TALK)}'><h3>- {words(1, 3)}</h3>{talk}</section>")
+        if r.random() < 0.2:
+            parts.append(f"<form><label>- {words(1, 3)}</label><p>- {words(8, 30, '.')}</p><button>- {words(1, 2)}</button></form>")
+        if r.random() < 0.85:
+            foot = f"<p>- {words(2, 14, r.choice(('', '.')))}</p>" if how != "plain" else ""
+            parts.append(said("footer", FEET, how, foot + links("-", 0 if foot else 2, 5, (1, 2), "span")))
+        out.append("<html><body>" + "".join(parts) + "</body></html>")
+    return out
+
+
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of all blocks.  The marks at the front of the texts go before features are taken."""
+    """Features and labels of all blocks."""
+    return labelled_blocks((*PAGES, *drawn_pages()))[:2]
+
+
+def labelled_blocks(pages: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and page numbers of all blocks.  The marks at the front of the texts go before features are taken."""
     from .html_text import blocks, features
 
-    xs, ys = [], []
-    for page in PAGES:
+    xs, ys, of = [], [], []
+    for number, page in enumerate(pages):
         rows, label = [], []
         for b in blocks(page):
             marks = b.text.count("+ ") + b.text.count("- ")
             linked = b.linked - (marks if b.linked > marks and b.linked == b.words else 0)
             label.append(b.text[0] == "+")
-            rows.append(b._replace(text=b.text[2:], words=b.words - marks, linked=min(linked, b.words - marks)))
+            text = b.text[2:] or "."
+            rows.append(b._replace(text=text, words=max(1, b.words - marks), linked=max(0, min(linked, b.words - marks))))
         xs.append(features(rows))
         ys.append(label)
-    return np.vstack(xs), np.concatenate(ys).astype(int)
+        of += [number] * len(rows)
+    return np.vstack(xs), np.concatenate(ys).astype(int), np.array(of)

@@ -1,9 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into flat blocks of text.  Each block is described by its words and link density, those of the
-blocks before and after it, and what its containers say (element names, classes, roles).  A small CART tree,
-trained on the labelled blocks of ``html_labels``, keeps a block or drops it.  A page is handled whole inside
-one Arrow batch row: no shuffle, and nothing is shared between pages.
+blocks before and after it, and by hints of its containers (element names, classes, roles), graded by how plainly
+they speak and by how much of the page's text they hold.  A CART tree, trained on the labelled blocks of
+``html_labels``, keeps a block or drops it; no hint decides alone.  A page is handled whole inside one Arrow batch
+row: no shuffle, and nothing is shared between pages.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose content is never text of the page.
-RAW = frozenset("script style noscript template iframe svg canvas object textarea select title head math audio video".split())
+RAW = frozenset("script style noscript template iframe svg canvas object textarea select title head audio video annotation".split())
 #: Those that hold no tags: a slash at the end of their start tag (or of an unquoted value) doesn't close them.
 UNPARSED = frozenset(("script", "style", "textarea", "title"))
 #: Elements that end a block where they begin and end.
 BLOCK = frozenset(
     "p div section article main nav header footer aside form fieldset h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption "
-    "blockquote pre figure figcaption address details summary hr body html center menu dialog legend label button option".split()
+    "blockquote pre figure figcaption address details summary hr body html center menu dialog legend button option".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th img input".split())
 #: Blocks whose end tag is often missing; they don't hold containers open.
-LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6 label button".split())
+LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option h1 h2 h3 h4 h5 h6 button".split())
 
-BAD_NAMES = frozenset("nav footer aside form menu dialog fieldset button label option legend".split())
+BAD_NAMES = frozenset("nav footer aside form menu dialog fieldset button option legend".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
 BAD_TOKENS = frozenset(
     "nav navbar navigation menu menubar submenu toc breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer foot sidebar side aside rail widget "
@@ -47,6 +48,12 @@ HEADER_TOKENS = frozenset("header head".split())
 #: In a class name these say how a wrapper is laid out, not what it holds.
 LAYOUT_TOKENS = frozenset("layout has with no without grid theme template".split())
 WRAP_TOKENS = frozenset("wrap wrapper container inner outer".split())
+#: Words of place and shape: beside them a name still says plainly what it holds.
+PLACE_TOKENS = frozenset(
+    "site page top bottom left right center box block area section list item items bar slot unit link links title body text global mobile desktop js main content header head "
+    "primary secondary region zone panel group wrap wrapper container inner outer row col column thread entry post posts article articles story icon icons btn button buttons user "
+    "reader author meta info more you may also like us up in out the to and for my new old big small sticky fixed floating id".split()
+)
 GOOD_NAMES = frozenset(("article", "main"))
 GOOD_TOKENS = frozenset("article content main post entry story articlebody".split())
 
@@ -61,7 +68,8 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    bad: bool
+    bad: int  # 2: a container or the block itself is plainly boilerplate, 1: a name hints at it
+    share: float  # of the page's words, those in the outermost such container
     header: bool
     good: bool
     heading: bool
@@ -69,26 +77,29 @@ class Block(NamedTuple):
 
 
 @lru_cache(maxsize=1 << 14)
-def _cue(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """Of an element: boilerplate, header, content."""
-    bad, header, good = name in BAD_NAMES, name == "header", name in GOOD_NAMES
+def _cue(name: str, attrs: str) -> tuple[int, bool, bool]:
+    """Of an element: boilerplate (0 to 2), header, content."""
+    bad, header, good = 2 * (name in BAD_NAMES), name == "header", name in GOOD_NAMES
     if attrs and name not in ("html", "body"):
         for key, a, b, c in _ATTR.findall(attrs):
             value, key = a or b or c, key.lower()
             if key not in ("class", "id", "role"):
                 continue
             if key == "role":
-                bad |= value.strip().lower() in BAD_ROLES
+                bad = max(bad, 2 * (value.strip().lower() in BAD_ROLES))
                 good |= value.strip().lower() in ("main", "article")
                 continue
             for one in value.split():
                 tokens = {t.lower() for t in _TOKEN.findall(one)}
                 if tokens & LAYOUT_TOKENS or tokens & WRAP_TOKENS and tokens & GOOD_TOKENS:
                     continue
-                bad |= bool(tokens & BAD_TOKENS)
+                if tokens & BAD_TOKENS:
+                    bad = max(bad, 2 if tokens <= BAD_TOKENS | PLACE_TOKENS else 1)
                 header |= bool(tokens & HEADER_TOKENS)
                 good |= bool(tokens & GOOD_TOKENS)
-    return bad, header and not bad, good and not bad
+    if bad == 1 and name in GOOD_NAMES:
+        bad = 0  # an article that is about notices isn't one
+    return bad, header and not bad, good and bad < 2
 
 
 def _joined(parts: list[str]) -> str:
@@ -100,14 +111,19 @@ def blocks(html: str | None) -> list[Block]:
     out: list[Block] = []
     if not html:
         return out
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # open containers: name, boilerplate, header, content, and their place among the nodes
+    stack: list[tuple[str, int, bool, bool, int]] = []
     open_names: Counter[str] = Counter()
-    bad = header = good = 0  # how many open containers say so
+    header = good = 0  # how many open containers say so
+    # containers that hint at boilerplate or content, as a tree: parent, boilerplate, content, closed by their own end tag
+    nodes: list[list] = [[-1, 0, False, True]]
+    here = 0
+    homes: list[int] = []
     parts: list[str] = []
     linked: list[str] = []
     in_link = False
     kind = ""
-    own: tuple[bool, bool, bool] = (False, False, False)  # cues of a loose element itself
+    own: tuple[int, bool, bool] = (0, False, False)  # cues of a loose element itself
 
     def flush() -> None:
         nonlocal own, kind
@@ -115,10 +131,11 @@ def blocks(html: str | None) -> list[Block]:
             text = _joined(parts)
             if text:
                 heading = kind[:1] == "h" and kind[1:].isdigit()
-                out.append(Block(text, text.count(" ") + 1, len("".join(linked).split()), bool(bad or own[0]), bool(header or own[1]), bool(good or own[2]), heading, kind in ("li", "dt", "dd")))
+                out.append(Block(text, text.count(" ") + 1, len("".join(linked).split()), own[0], 0.0, bool(header or own[1]), bool(good or own[2]), heading, kind in ("li", "dt", "dd")))
+                homes.append(here)
             parts.clear()
             linked.clear()
-        own, kind = (False, False, False), ""
+        own, kind = (0, False, False), ""
 
     def add(raw: str) -> None:
         text = entities.unescape(raw) if "&" in raw else raw
@@ -168,10 +185,14 @@ def blocks(html: str | None) -> list[Block]:
                 flush()
                 if name not in LOOSE and open_names[name]:
                     while True:
-                        top, b, h, g = stack.pop()
+                        top, b, h, g, node = stack.pop()
                         open_names[top] -= 1
-                        bad, header, good = bad - b, header - h, good - g
+                        header, good = header - h, good - g
+                        if node:
+                            here = nodes[node][0]
                         if top == name:
+                            if node:
+                                nodes[node][3] = True
                             break
                     in_link = False
             elif name in SPACED:
@@ -207,14 +228,44 @@ def blocks(html: str | None) -> list[Block]:
             if name in LOOSE:
                 own, kind = cue, name
             else:
-                stack.append((name, *cue))
+                node = 0
+                if cue[0] or cue[2]:
+                    nodes.append([here, cue[0], cue[2], False])
+                    here = node = len(nodes) - 1
+                stack.append((name, *cue, node))
                 open_names[name] += 1
-                bad, header, good = bad + cue[0], header + cue[1], good + cue[2]
+                header, good = header + cue[1], good + cue[2]
     flush()
-    return out
+    return _placed(out, homes, nodes)
+
 
+def _placed(page: list[Block], homes: list[int], nodes: list[list]) -> list[Block]:
+    """The blocks with what their containers say.
 
-FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "near_density", "boilerplate", "header", "content", "heading", "item", "sentence")
+    A container whose end tag is missing says nothing of what stands in a content element inside it: the tag was
+    forgotten before that.
+    """
+    n = len(nodes)
+    words = [0] * n
+    for b, home in zip(page, homes):
+        words[home] += b.words
+    for k in range(n - 1, 0, -1):
+        words[nodes[k][0]] += words[k]
+    said, closed, outer = [0] * n, [0] * n, [0] * n  # of a node and those around it; of closed ones alone; the outermost that counts
+    closed_outer = [0] * n
+    for k in range(1, n):
+        parent, bad, content, shut = nodes[k]
+        closed[k] = max(closed[parent], bad * shut)
+        closed_outer[k] = closed_outer[parent] or k * (bad > 0 and shut)
+        if content:
+            said[k], outer[k] = max(closed[parent], bad), closed_outer[parent] or k * (bad > 0)
+        else:
+            said[k], outer[k] = max(said[parent], bad), outer[parent] or k * (bad > 0)
+    total = max(1, words[0])
+    return [b._replace(bad=max(b.bad, said[h]), share=words[outer[h]] / total if outer[h] else b.words / total * (b.bad > 0)) for b, h in zip(page, homes)]
+
+
+FEATURES = ("words", "link_density", "before_words", "before_density", "after_words", "after_density", "near_density", "boilerplate", "share", "header", "content", "heading", "item", "sentence")
 
 
 def features(page: list[Block]) -> np.ndarray:
@@ -227,7 +278,7 @@ def features(page: list[Block]) -> np.ndarray:
     density = np.array([b.linked / b.words for b in page], float)
     around = lambda x: (np.concatenate([[0.0], x[:-1]]), np.concatenate([x[1:], [0.0]]))
     (bw, aw), (bd, ad) = around(words), around(density)
-    flags = np.array([(b.bad, b.header, b.good, b.heading, b.item, b.text[-1] in ".!?…:;\"'”»)") for b in page], float).reshape(n, 6)
+    flags = np.array([(b.bad, b.share, b.header, b.good, b.heading, b.item, b.text[-1] in ".!?…:;\"'”»)") for b in page], float).reshape(n, 7)
     return np.column_stack([words, density, bw, bd, aw, ad, np.maximum(bd, ad), flags])
 
 
@@ -249,7 +300,7 @@ class Tree(NamedTuple):
         return self.label[node]
 
 
-def train(x: np.ndarray, y: np.ndarray, depth: int = 8, leaf: int = 2) -> Tree:
+def train(x: np.ndarray, y: np.ndarray, depth: int = 10, leaf: int = 3) -> Tree:
     """Gini splits, midpoints between neighbouring values; ties go to the earlier feature and lower cut."""
     rows: list[list[float]] = []
 
@@ -311,7 +362,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: ``page_id, url, text, n_chars``.
 
-    A null page is empty; null ids and urls and repeated rows pass through; extra columns are ignored.
+    A null or empty page is empty; null ids and urls and repeated rows pass through; very long and broken pages are
+    read whole in linear time; an empty table gives no rows; extra columns are ignored.
     """
     of = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return of.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

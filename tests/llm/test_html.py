@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -80,6 +81,43 @@ def test_tree_fits_its_table_and_holds_out():
     assert right / len(y) > 0.85
 
 
+def test_pages_held_out_by_page():
+    """Hand-written and drawn pages, each page wholly inside or outside the training part; and pages of another draw."""
+    x, y, page = html_labels.labelled_blocks((*html_labels.PAGES, *html_labels.drawn_pages()))
+    for k in range(5):
+        out = page % 5 == k
+        assert (html_text.train(x[~out], y[~out]).predict(x[out]) == y[out]).mean() > 0.97
+    x, y, _ = html_labels.labelled_blocks(tuple(html_labels.drawn_pages(150, seed=99)))
+    assert (html_text.default_tree().predict(x) == y).mean() > 0.98
+    used = {html_text.FEATURES[f] for f in html_text.default_tree().feature if f >= 0}
+    assert {"words", "before_words", "after_words"} <= used and used & {"before_density", "after_density", "near_density"}
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article class='post side-by-side'><h1>T</h1><p>{ART}</p></article>", f"T\n{ART}"),
+        (f"<article class='category-discussion tag-legal'><p>{ART}</p></article>", ART),
+        (f"<article id='notice-of-sale'><p>{ART}</p><p>Yes.</p></article>", f"{ART}\nYes."),
+        (f"<div class='notice-of-sale'><p>{ART}</p><p>{ART}</p><p>{ART}</p></div><div class=footer>Imprint</div>", f"{ART}\n{ART}\n{ART}"),
+        (f"<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul><article><p>{ART}</p><p>{ART}</p></article>", f"{ART}\n{ART}"),
+        (f"<body><div><nav><a href=/>Home</a></div><main><p>{ART}</p></main></body>", ART),
+        (f"<article><p>Call <label>me</label> now. {ART}</p></article>", f"Call me now. {ART}"),
+        (f"<article><p>{ART} Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", f"{ART} Where x=2 holds."),
+        (f"<article><p>{ART}</p></article><section class=comments><article class=comment><p>{ART}</p><p>{ART}</p><p>{ART}</p></article></section>", ART),
+    ],
+)
+def test_misleading_names_and_missing_tags(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_unclosed_elements_are_linear():
+    for unit in ("<p>x<iframe>", "<p>x<svg>", "<nav><p>x", "<div class=ad><p>x", "<article><nav>x"):
+        began = time.process_time()
+        html_text.main_text(unit * ((1 << 20) // len(unit)))
+        assert time.process_time() - began < 10
+
+
 def test_held_out_pages():
     """Pages of the test tables, whose article element holds the text."""
     for h in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist():
