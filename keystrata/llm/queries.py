@@ -45,7 +45,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.decisions(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    return mixing.decisions(table(spark, sf_dir, "documents")).withColumns({k: F.round(k, 6) for k in ("probability", "residual")})
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
