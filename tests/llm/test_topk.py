@@ -47,3 +47,38 @@ def test_empty_and_repeats(spark):
     assert topk.neighbours(df).count() == 0
     df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [1.0]), (1, [1.0])], df.schema)
     assert sorted(tuple(r) for r in topk.neighbours(df).collect()) == [(0, 1, 1, 65536), (0, 2, 1, 65536)]
+
+
+def test_repeated_ids_in_sql_and_code(spark, tmp_path):
+    import duckdb
+
+    rows = [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (50, [2.0, 2.0]), (50, [2.0, 2.0]), (None, [9.0, 9.0]), (2, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/e.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e.parquet/*.parquet'")
+    want = sorted(c.execute(topk.ORACLE_SQL).fetchall())
+    got = topk.neighbours(spark.read.parquet(f"{tmp_path}/e.parquet"))
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == want and len(want) == 8
+
+
+def test_queries_travel_only_where_they_can_score(spark):
+    """Far apart clusters: after its own cell a query reaches few others; blocks of queries and sub-shards change nothing."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 6)) * 50
+    rows = [(i, [float(c) for c in centres[i % 8] + rng.normal(size=6)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = topk.quantised(df)
+    ints = [(r.vec_id, list(r.v)) for r in q.collect()]
+    want = brute(ints, 5, 10)
+    for shard_rows, query_rows in ((200, 10_000), (60, 3)):
+        got = topk.top_k(q, q.filter("vec_id % 10 = 0"), shard_rows=shard_rows, query_rows=query_rows).collect()
+        assert sorted(tuple(r) for r in got) == want
+    balls = [topk._balls(__import__("pandas").DataFrame({"v": [np.array(v, "<i8").tobytes() for i, v in ints if i % 8 == c], "shard": c, "dim": 6})) for c in range(8)]
+    import pandas as pd
+    import pyarrow as pa
+
+    kth = {i: min(s for qi, _, _, s in want if qi == i) for i, _ in ints if i % 10 == 0}
+    rows = [(i, 6, np.array(v, "<i8").tobytes(), float(kth[i]), i % 8) for i, v in ints if i % 10 == 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["vec_id", "dim", "v", "kth", "home"])
+    pairs = sum(b.num_rows for b in topk._reached(list(pd.concat(balls).itertuples()))(iter([batch])))
+    assert pairs < 2 * len(rows)  # of seven other shards each
