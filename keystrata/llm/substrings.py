@@ -5,12 +5,16 @@ windows that share it travel as one packed string (a super-k-mer) to the minimis
 meet in one bucket although no window is sent alone.  There they are sorted and counted exactly: by a 64-bit
 hash first, then word by word among equal hashes.
 
-Skew.  A document's removals depend on its text alone, so copies are one record under the text's digest, and
-equal super-k-mers of a batch are joined before the shuffle with a mark that says "seen twice": a passage or
-text that a third of all rows share sends one record per batch.  Runs of words that occur in many documents
-of a bounded sample (``SAMPLE_DOCS``) come last in the order of minimisers, so windows that only touch a
-common passage go elsewhere; the sample balances load and has no part in what is found.  A bucket has about
-``BUCKET_BYTES`` of packed text, whatever the input's size.
+Skew.  A document's removals depend on its text alone, so copies are one record under the text's digest (128 bits
+of SHA-256), and equal super-k-mers of a batch are joined before the shuffle with a mark that says "seen twice": a
+passage or text that a third of all rows share sends one record per batch.  Runs of words that occur in many
+documents of a bounded sample (``SAMPLE_DOCS``) come last in the order of minimisers, so windows that only touch a
+common passage go elsewhere; the sample balances load and has no part in what is found.  Buckets are planned for
+``BUCKET_BYTES`` of packed text.  One that turns out to hold over ``HOLD`` times as much, as a minimiser that very
+many texts share makes it, is handed on unread: its super-k-mers are cut again by the next wider minimiser
+(``FINER``) and meet in buckets of that, up to the whole window.  So no task holds more, whatever the input's size.
+
+Only texts that may lose something are shuffled to their spans: a Bloom filter of bounded size tells the others.
 """
 
 from __future__ import annotations
@@ -25,10 +29,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bloom
 from .common import arrow_batches, written
 
 WINDOW, MER = 35, 4
 BUCKET_BYTES = 16 << 20
+#: Times of ``BUCKET_BYTES`` that a task holds of one bucket; words of the minimisers that larger ones are cut by.
+HOLD, FINER = 3, (10, 20, WINDOW)
+#: Most bits of the filter of texts that may lose something.
+FILTER_BITS = 1 << 26
 #: Bounds of the sample that finds common runs: documents read, and the share of them that makes a run common.
 SAMPLE_DOCS, COMMON_SHARE = 20_000, 0.005
 #: Bytes of text that are packed together.
@@ -71,8 +80,12 @@ def _least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
-def _mer_hashes(words: list[bytes], common: np.ndarray) -> np.ndarray:
-    h = _run_hashes(_mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words))), MER) >> np.uint64(1)
+def _digest(text: bytes) -> bytes:
+    return hashlib.sha256(text).digest()[:16]
+
+
+def _mer_hashes(words: list[bytes], common: np.ndarray, mer: int = MER) -> np.ndarray:
+    h = _run_hashes(_mixed(np.fromiter(map(zlib.crc32, words), np.uint64, len(words))), mer) >> np.uint64(1)
     if len(common) and len(h):
         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
         h = np.where(common[at] == h, h | np.uint64(1 << 63), h)
@@ -118,6 +131,11 @@ def _packed(texts: dict[bytes, list], buckets: int, common: np.ndarray) -> Itera
             else:
                 r[1] |= _TWICE
                 r[3].append((digest, s))
+    yield from _blobs(records, buckets)
+
+
+def _blobs(records: dict[bytes, list], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """``bucket, blob`` of records (minimiser, flags, windows, sources) by their text."""
     by_bucket: dict[int, list] = {}
     for part, r in records.items():
         by_bucket.setdefault(r[0] % buckets, []).append((part, r))
@@ -130,6 +148,57 @@ def _packed(texts: dict[bytes, list], buckets: int, common: np.ndarray) -> Itera
             yield bucket, squeeze.compress(len(some).to_bytes(4, "little") + head.tobytes() + source.tobytes() + b"".join(p for p, _ in some))
 
 
+def _opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Heads, sources and texts of an uncompressed blob."""
+    n = int.from_bytes(raw[:4], "little")
+    head = np.frombuffer(raw, _HEAD, n, 4)
+    at = 4 + head.nbytes
+    source = np.frombuffer(raw, _SOURCE, int(head["sources"].sum()), at)
+    at += source.nbytes
+    ends = (at + np.cumsum(head["bytes"].astype(np.int64))).tolist()
+    return head, source, [raw[end - size : end] for end, size in zip(ends, head["bytes"].tolist())]
+
+
+def _cut_again(buckets: int, mer: int, pack_bytes: int):
+    """Blobs of hot buckets to blobs of finer ones: each super-k-mer is cut where the wider minimiser changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide, none = zstandard.ZstdDecompressor(), np.zeros(0, np.uint64)
+        records: dict[bytes, list] = {}
+        held = 0
+
+        def emit() -> pa.RecordBatch:
+            rows = list(_blobs(records, buckets))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+
+        for batch in batches:
+            for blob in batch.column(0):
+                head, source, text = _opened(wide.decompress(blob.as_py()))
+                first = np.cumsum(head["sources"]) - head["sources"]
+                for k, t in enumerate(text):
+                    words = t.split(b" ")
+                    least = _least(_mer_hashes(words, none, mer), WINDOW - mer + 1)
+                    cut = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                    at = [(d, s) for d, s, _ in source[first[k] : first[k] + head["sources"][k]].tolist()]
+                    for a, w in zip(cut.tolist(), np.diff(np.append(cut, len(least))).tolist()):
+                        part = b" ".join(words[a : a + w + WINDOW - 1])
+                        r = records.get(part)
+                        if r is None:
+                            records[part] = [int(least[a]), int(head["flags"][k]), w, [(d, s + a) for d, s in at]]
+                            held += len(part) + 24 * len(at)
+                        else:
+                            r[1] |= _TWICE
+                            r[3] += [(d, s + a) for d, s in at]
+                            held += 24 * len(at)
+                    if held >= pack_bytes:
+                        yield emit()
+                        records, held = {}, 0
+        if records:
+            yield emit()
+
+    return run
+
+
 def _pack(buckets: int, common: np.ndarray, pack_bytes: int):
     def emit(texts: dict) -> pa.RecordBatch | None:
         rows = list(_packed(texts, buckets, common))
@@ -143,7 +212,7 @@ def _pack(buckets: int, common: np.ndarray, pack_bytes: int):
                 text = value.as_py()
                 if not text:
                     continue
-                d = hashlib.md5(text).digest()
+                d = _digest(text)
                 if d in texts:
                     texts[d][1] += 1
                     continue
@@ -215,58 +284,111 @@ def _spans(head: np.ndarray, source: np.ndarray, text: list[bytes]) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(windows, pa.int32())], names=["digest", "start", "windows"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over blobs sorted by bucket, a bucket at a time."""
-    wide = zstandard.ZstdDecompressor()
-
-    def settle(blobs: list[bytes]) -> pa.RecordBatch:
-        heads, sources, text = [], [], []
-        for b in blobs:
-            raw = wide.decompress(b)
-            n = int.from_bytes(raw[:4], "little")
-            head = np.frombuffer(raw, _HEAD, n, 4)
-            at = 4 + head.nbytes
-            source = np.frombuffer(raw, _SOURCE, int(head["sources"].sum()), at)
-            at += source.nbytes
-            for end, size in zip((at + np.cumsum(head["bytes"].astype(np.int64))).tolist(), head["bytes"].tolist()):
-                text.append(raw[end - size : end])
-            heads.append(head)
-            sources.append(source)
-        return _spans(np.concatenate(heads), np.concatenate(sources), text)
-
-    bucket, blobs = None, []
-    for batch in batches:
-        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if b != bucket and blobs:
-                yield settle(blobs)
-                blobs = []
-            bucket = b
-            blobs.append(blob.as_py())
-    if blobs:
-        yield settle(blobs)
+_FOUND = "digest binary, start int, windows int, blob binary, raw long"
+
+
+def _count(hold: int | None):
+    """Over blobs sorted by bucket, a bucket at a time: its spans, or its blobs where they are more than ``hold`` bytes."""
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+
+    def settle(raws: list[bytes]) -> pa.RecordBatch:
+        heads, sources, texts = zip(*map(_opened, raws))
+        found = _spans(np.concatenate(heads), np.concatenate(sources), [t for part in texts for t in part])
+        return pa.RecordBatch.from_arrays([*found.columns, *(pa.nulls(found.num_rows, k) for k in kinds[3:])], names=names)
+
+    def passed_on(raw: bytes) -> pa.RecordBatch:
+        blob = zstandard.ZstdCompressor(level=3).compress(raw)
+        return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:3]), pa.array([blob], kinds[3]), pa.array([len(raw)], kinds[4])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = zstandard.ZstdDecompressor()
+        bucket, raws, held, hot = None, [], 0, False
+        for batch in batches:
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if b != bucket:
+                    if raws:
+                        yield settle(raws)
+                    bucket, raws, held, hot = b, [], 0, False
+                raw = wide.decompress(blob.as_py())
+                held += len(raw)
+                raws.append(raw)
+                hot = hot or hold is not None and held > hold
+                if hot:
+                    for r in raws:
+                        yield passed_on(r)
+                    raws = []
+        if raws:
+            yield settle(raws)
+
+    return run
+
+
+def _kept(text: bytes, spans: list | None) -> tuple[int, list[bytes]]:
+    """Words of a text, and those that stay."""
+    words = text.split()
+    n = len(words)
+    if spans:
+        gone = np.zeros(n + 1, np.int64)
+        start = np.array([s["start"] for s in spans])
+        np.add.at(gone, start, 1)
+        np.add.at(gone, start + np.array([s["windows"] for s in spans]) + WINDOW - 1, -1)
+        words = [w for w, k in zip(words, (np.cumsum(gone[:n]) == 0).tolist()) if k]
+    return n, words
+
+
+_REMOVED = "doc_id long, n_words long, n_removed long, kept_text string"
+
+
+def _rows_of(ids: pa.Array, kept: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+    text = [b" ".join(w).decode("utf-8", "replace") for _, w in kept]
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([n for n, _ in kept], pa.int64()), pa.array([n - len(w) for n, w in kept], pa.int64()), pa.array(text, pa.string())],
+        names=[c.split()[0] for c in _REMOVED.split(", ")],
+    )
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, kept_text = [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2)):
-            words = (text.as_py() or b"").split()
-            n = len(words)
-            found = spans.as_py()
-            if found:
-                gone = np.zeros(n + 1, np.int64)
-                start = np.array([s["start"] for s in found])
-                np.add.at(gone, start, 1)
-                np.add.at(gone, start + np.array([s["windows"] for s in found]) + WINDOW - 1, -1)
-                stay = np.cumsum(gone[:n]) == 0
-                words = [w for w, k in zip(words, stay.tolist()) if k]
-            n_words.append(n)
-            n_removed.append(n - len(words))
-            kept_text.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([x.decode("utf-8", "replace") for x in kept_text], pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_text"],
-        )
+        yield _rows_of(batch.column(0), [_kept(t.as_py() or b"", s.as_py()) for t, s in zip(batch.column(1), batch.column(2))])
+
+
+def _may_lose(texts: list[bytes | None], data: bytes, bits: int, hashes: int) -> np.ndarray:
+    """Which texts the filter holds; too short ones lose nothing."""
+    out = np.zeros(len(texts), bool)
+    at = np.array([k for k, t in enumerate(texts) if t and len(t) >= 2 * WINDOW - 1], int)
+    if len(at):
+        places = bloom.positions([_digest(texts[k]) for k in at.tolist()], bits, hashes)
+        packed = np.frombuffer(data, np.uint8)
+        out[at] = ((packed[(places >> np.uint64(3)).astype(np.int64)] >> (places & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
+    return out
+
+
+def _untouched(data: bytes, bits: int, hashes: int):
+    """The results of texts that lose nothing, where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            k = np.flatnonzero(~_may_lose(texts, data, bits, hashes))
+            if len(k):
+                yield _rows_of(batch.column(0).take(pa.array(k)), [_kept(texts[i] or b"", None) for i in k.tolist()])
+
+    return run
+
+
+def _touched(data: bytes, bits: int, hashes: int):
+    """``doc_id, text, own`` of the others, with the text's digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            k = np.flatnonzero(_may_lose(texts, data, bits, hashes))
+            if len(k):
+                some = batch.take(pa.array(k))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([_digest(texts[i]) for i in k.tolist()], pa.binary())], names=["doc_id", "text", "own"])
+
+    return run
 
 
 def _commons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,31 +414,46 @@ def common_runs(docs: DataFrame, n_docs: int) -> np.ndarray:
     return np.sort(np.array([r.mer for r in found], np.int64).view(np.uint64))
 
 
-def repeated_windows(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """``digest, start, windows``: for each distinct text (MD5) the runs of windows that also start elsewhere."""
+def repeated_windows(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES, hold: int = HOLD) -> DataFrame:
+    """``digest, start, windows``: for each distinct text (by digest) the runs of windows that also start elsewhere."""
     size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
     # each super-k-mer has about half as many windows as a window has minimiser places
     packed = (size[1] or 0) * (1 + 2 * WINDOW / (WINDOW - MER + 2))
     buckets = max(1, min((1 << 31) - 1, int(packed / bucket_bytes) + 1))
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     blobs = texts.mapInArrow(_pack(buckets, common_runs(docs, size[0]), pack_bytes), "bucket int, blob binary")
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count, "digest binary, start int, windows int")
-
-
-def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES) -> DataFrame:
+    found = None
+    for mer in (*FINER, None):
+        # only spans are written, and the blobs of buckets that were too large
+        some = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count(None if mer is None else hold * bucket_bytes), _FOUND)
+        with arrow_batches(docs.sparkSession, BATCH_BYTES):
+            some = written(some, "spans")
+        found = some if found is None else found.unionByName(some)
+        over = some.agg(F.sum("raw")).first()[0] if mer else None
+        if not over:
+            break
+        buckets = max(1, min((1 << 31) - 1, 2 * over // bucket_bytes + 1))
+        blobs = some.filter(F.col("blob").isNotNull()).select("blob").repartition(max(1, over // pack_bytes)).mapInArrow(_cut_again(buckets, mer, pack_bytes), "bucket int, blob binary")
+    return found.filter(F.col("blob").isNull()).select("digest", "start", "windows")
+
+
+def deduplicated(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, pack_bytes: int = PACK_BYTES, hold: int = HOLD) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_text`` (kept words joined by one space).
 
-    Null, empty and short texts lose nothing.  Repeated rows are each other's repeats; null ids pass through;
-    extra columns are ignored.
+    Null, empty and short texts lose nothing; very long ones are read whole.  Repeated rows are each other's repeats;
+    null ids pass through; an empty table gives no rows; extra columns are ignored.
     """
-    spans = repeated_windows(docs, bucket_bytes, pack_bytes).groupBy("digest").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    spans = repeated_windows(docs, bucket_bytes, pack_bytes, hold).groupBy("digest").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
     # written, so that the join below can split the rows of a text that very many documents share
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
         spans = written(spans, "spans")
-    text = F.col("text").cast("binary")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.md5(text)).alias("own"))
+    n = spans.count()
+    bits, hashes = min(FILTER_BITS, max(64, 12 * n)), 5
+    data = bytes(bloom.build(spans.select("digest"), "digest", bits, hashes).first()["filter"])
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = of.mapInArrow(_touched(data, bits, hashes), "doc_id long, text binary, own binary")
     joined = own.join(spans, own["own"] == spans["digest"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_removed, "doc_id long, n_words long, n_removed long, kept_text string")
+    return joined.mapInArrow(_removed, _REMOVED).unionByName(of.mapInArrow(_untouched(data, bits, hashes), _REMOVED))
 
 
 ORACLE_SQL = rf"""

@@ -69,3 +69,52 @@ def test_common_runs_do_not_change_the_result():
 
 def test_empty(spark):
     assert substrings.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def hot_texts(n=400):
+    """Every text holds one run of words whose hash is least, amid words of its own; some windows repeat."""
+    rng = np.random.default_rng(4)
+    runs = [[f"r{k}a", f"r{k}b", f"r{k}c", f"r{k}d"] for k in range(30_000)]
+    hashes = [int(substrings._mer_hashes([w.encode() for w in r], np.zeros(0, np.uint64))[0]) for r in runs]
+    run = runs[int(np.argmin(np.array(hashes, np.uint64)))]
+    own = lambda k: [f"v{x}" for x in rng.integers(0, 10**6, k)]
+    texts = [" ".join(own(40) + run + own(40)) for _ in range(n)]
+    texts[7] = " ".join(own(5)) + " " + texts[3]
+    return texts + [texts[11]]
+
+
+def test_a_minimiser_in_every_text_is_split(monkeypatch):
+    import pyarrow as pa
+
+    held = []
+    spans = substrings._spans
+    monkeypatch.setattr(substrings, "_spans", lambda head, source, text: held.append(sum(map(len, text))) or spans(head, source, text))
+    texts = hot_texts()
+    bucket_bytes, hold, pack_bytes = 4000, 12_000, 4000
+
+    def dealt(batches):
+        rows = sorted((b, x) for batch in batches for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        return iter([pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])])
+
+    source = pa.RecordBatch.from_arrays([pa.array([t.encode() for t in texts], pa.binary())], names=["text"])
+    blobs = substrings._pack(50, np.zeros(0, np.uint64), pack_bytes)(iter([source]))
+    found, levels = [], 0
+    for mer in (*substrings.FINER, None):
+        out = list(substrings._count(None if mer is None else hold)(dealt(blobs)))
+        found += [tuple(r.values())[:3] for b in out for r in b.to_pylist() if r["blob"] is None]
+        hot = [r["blob"] for b in out for r in b.to_pylist() if r["blob"] is not None]
+        if not hot:
+            break
+        levels += 1
+        size = sum(r["raw"] for b in out for r in b.to_pylist() if r["raw"])
+        blobs = substrings._cut_again(2 * size // bucket_bytes + 1, mer, pack_bytes)(iter([pa.RecordBatch.from_arrays([pa.array(hot, pa.binary())], names=["blob"])]))
+    assert levels and max(held) <= hold and sum(map(len, map(str.encode, texts))) > 10 * hold
+    want = {substrings._digest(t.encode()) for t, b in zip(texts, brute(texts)) if b[1]}
+    assert {d for d, _, _ in found} == want and len(want) == 3
+
+
+def test_hot_texts_in_a_frame(spark):
+    texts = hot_texts(150)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = sorted(tuple(r) for r in substrings.deduplicated(df, 4000, 4000).collect())
+    assert got == [(k, *b) for k, b in enumerate(brute(texts))]
