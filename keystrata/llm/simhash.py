@@ -7,7 +7,8 @@ that differ in at most ``max_diff`` bits link; components are the transitive clo
    copies meet in one row whatever their number.
 2. Routing: the 64 bits are cut into ``max_diff + 1`` groups; two linked fingerprints agree on one group
    at least, so each value travels to one bucket per group.  A bucket over ``bucket_rows`` is cut again in
-   the same way over the bits that are still free, which loses no link and bounds every bucket.
+   the same way over the bits that are still free, which loses no link (and copies its values once a group),
+   until it is small enough or has ``LEAST_FREE`` free bits, of which there are 65,536 values at most.
 3. In a bucket the index: values sorted by Gray rank, runs of ``FANOUT`` neighbours factored into parent
    nodes that keep the bits all of them share.  The self-join walks pairs of nodes from the root and drops
    a pair of groups once their shared bits differ too often; a pair whose bits cannot differ too often
@@ -211,24 +212,40 @@ def _children(free: int, groups: int) -> list[int]:
     return [free & ~sum(1 << k for k in p) for p in parts]
 
 
-def links(nodes: DataFrame, max_diff: int = 4, bucket_rows: int = 100_000, max_cuts: int = 4) -> DataFrame:
-    """``u, v``: links that connect all distinct values ``fp`` of ``nodes`` within ``max_diff`` bits of each other."""
+#: Free bits at which a bucket isn't cut again.
+LEAST_FREE = 16
+
+
+def _recut(groups: int):
+    """Values of hot buckets to the buckets of their free bits' groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}
+        for b in batches:
+            fp, free = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            for f in np.unique(free).tolist():
+                if f not in memo:
+                    memo[f] = np.array([_signed(m) for m in _children(f & (1 << 64) - 1, groups)], np.int64)
+                mine, below = fp[free == f], memo[f]
+                value, mask = np.repeat(mine, len(below)), np.tile(below, len(mine))
+                yield pa.RecordBatch.from_arrays([pa.array(mask), pa.array(value & ~mask), pa.array(value)], names=["free", "key", "fp"])
+
+    return run
 
-    def dealt(rows: DataFrame, masks: list[int]) -> tuple[DataFrame, list[int]]:
-        below = {m: _children(m, max_diff + 1) for m in masks}
-        children = F.create_map(*(x for m, c in below.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(k)) for k in c)))))
-        rows = rows.select("fp", F.explode(F.element_at(children, F.col("free"))).alias("free"))
-        return rows.select("free", F.col("fp").bitwiseAND(F.bitwise_not("free")).alias("key"), "fp"), sorted({k for c in below.values() for k in c})
 
-    whole = (1 << 64) - 1
-    rows, masks = dealt(nodes.select("fp", F.lit(_signed(whole)).alias("free")), [whole])
-    for _ in range(max_cuts - 1):
-        hot = rows.groupBy("free", "key").count().filter(F.col("count") > bucket_rows).select(F.col("free").alias("f"), F.col("key").alias("k"))
+def links(nodes: DataFrame, max_diff: int = 4, bucket_rows: int = 100_000) -> DataFrame:
+    """``u, v``: links that connect all distinct values ``fp`` of ``nodes`` within ``max_diff`` bits of each other."""
+
+    below = F.array(*(F.lit(_signed(m)) for m in _children((1 << 64) - 1, max_diff + 1)))
+    rows = nodes.select("fp", F.explode(below).alias("free")).select("free", F.col("fp").bitwiseAND(F.bitwise_not("free")).alias("key"), "fp")
+    while True:
+        hot = rows.groupBy("free", "key").count().filter((F.col("count") > bucket_rows) & (F.bit_count("free") > LEAST_FREE))
+        hot = written(hot.select(F.col("free").alias("f"), F.col("key").alias("k")), "hot")
         if hot.isEmpty():
             break
         on = (rows["free"] == hot["f"]) & (rows["key"] == hot["k"])
-        cut, masks = dealt(rows.join(hot, on, "left_semi"), masks)
-        rows = rows.join(hot, on, "left_anti").unionByName(cut)
+        cut = rows.join(hot, on, "left_semi").select("fp", "free").mapInArrow(_recut(max_diff + 1), "free long, key long, fp long")
+        rows = written(rows.join(hot, on, "left_anti").unionByName(cut), "buckets")
     return rows.repartition("free", "key").sortWithinPartitions("free", "key").mapInArrow(_bucket_links(max_diff), "u long, v long")
 
 
@@ -242,7 +259,8 @@ def _roots(rows: DataFrame, max_diff: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 4, max_diff: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
-    Null and blank texts have fingerprint zero and link like any other.  Repeated rows each return a row.
+    Null and blank texts have fingerprint zero and link like any other.  Repeated rows each return a row; very long
+    texts are read whole, one at a time; an empty table gives no rows.
     ``component_id`` is the smallest ``doc_id`` of the component; a null ``doc_id`` never is one, so a
     component of null ids alone has a null.  Extra columns are ignored.
     """
