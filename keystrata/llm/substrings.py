@@ -324,8 +324,8 @@ def _count(hold: int | None):
     return run
 
 
-def _kept(text: bytes, spans: list | None) -> tuple[int, list[bytes]]:
-    """Words of a text, and those that stay."""
+def _kept(text: bytes, spans: list | None) -> tuple[int, int, str]:
+    """Number of words of a text and of those that go, and the others joined."""
     words = text.split()
     n = len(words)
     if spans:
@@ -334,18 +334,15 @@ def _kept(text: bytes, spans: list | None) -> tuple[int, list[bytes]]:
         np.add.at(gone, start, 1)
         np.add.at(gone, start + np.array([s["windows"] for s in spans]) + WINDOW - 1, -1)
         words = [w for w, k in zip(words, (np.cumsum(gone[:n]) == 0).tolist()) if k]
-    return n, words
+    return n, n - len(words), b" ".join(words).decode("utf-8", "replace")
 
 
 _REMOVED = "doc_id long, n_words long, n_removed long, kept_text string"
 
 
-def _rows_of(ids: pa.Array, kept: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
-    text = [b" ".join(w).decode("utf-8", "replace") for _, w in kept]
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array([n for n, _ in kept], pa.int64()), pa.array([n - len(w) for n, w in kept], pa.int64()), pa.array(text, pa.string())],
-        names=[c.split()[0] for c in _REMOVED.split(", ")],
-    )
+def _rows_of(ids: pa.Array, kept: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    n, removed, text = zip(*kept) if kept else ((), (), ())
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.string())], names=[c.split()[0] for c in _REMOVED.split(", ")])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,6 +350,10 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows_of(batch.column(0), [_kept(t.as_py() or b"", s.as_py()) for t, s in zip(batch.column(1), batch.column(2))])
 
 
+#: Texts looked at together.
+_ROWS = 1000
+
+
 def _may_lose(texts: list[bytes | None], data: bytes, bits: int, hashes: int) -> np.ndarray:
     """Which texts the filter holds; too short ones lose nothing."""
     out = np.zeros(len(texts), bool)
@@ -369,10 +370,12 @@ def _untouched(data: bytes, bits: int, hashes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            k = np.flatnonzero(~_may_lose(texts, data, bits, hashes))
-            if len(k):
-                yield _rows_of(batch.column(0).take(pa.array(k)), [_kept(texts[i] or b"", None) for i in k.tolist()])
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                texts = part.column(1).to_pylist()
+                k = np.flatnonzero(~_may_lose(texts, data, bits, hashes))
+                if len(k):
+                    yield _rows_of(part.column(0).take(pa.array(k)), [_kept(texts[i] or b"", None) for i in k.tolist()])
 
     return run
 
@@ -382,10 +385,13 @@ def _touched(data: bytes, bits: int, hashes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            k = np.flatnonzero(_may_lose(texts, data, bits, hashes))
-            if len(k):
-                some = batch.take(pa.array(k))
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                texts = part.column(1).to_pylist()
+                k = np.flatnonzero(_may_lose(texts, data, bits, hashes))
+                if not len(k):
+                    continue
+                some = part.take(pa.array(k))
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array([_digest(texts[i]) for i in k.tolist()], pa.binary())], names=["doc_id", "text", "own"])
 
     return run
