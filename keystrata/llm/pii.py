@@ -45,7 +45,6 @@ _ASSIGNED = re.compile(r"[\x20]?[:=][\x20]?[\"']?")
 _SECRET = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 _USER = re.compile(r"[^\s/?#@\"'<>]+")
 _HOST = re.compile(r"@[A-Za-z0-9.-]+(?::[0-9]+)?[^\s\"'<>]*")
-_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
 @lru_cache(maxsize=1)
@@ -80,7 +79,9 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     found: list[tuple[str, int, int]] = []
     done = dict.fromkeys((*BASE, *ADDED, "at"), 0)
     refused = 0  # where the last run ends that holds no secret: a later part of it holds none either
-    for last, (anchor, width) in _anchors().iter(text.translate(_LOWER)):
+    # of bytes only A-Z are lowered, so places stay the same
+    lowered = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for last, (anchor, width) in _anchors().iter(lowered):
         at = last + 1 - width
         if anchor == "digit":
             if at >= done["ip"]:
