@@ -12,6 +12,11 @@ Relational plan, with whole column blocks as rows so that a key costs bytes and
 4. In the batch the totals meet the exploded n-grams and are summed per document.
 
 Copies share a text digest, are coded once a batch with their number, and are joined to their rows at the end.
+
+An n-gram is its 64-bit hash.  Two of n distinct n-grams share one with a chance of n * n / 2**65, and then add their
+counts: some 50 million n-grams (0.5 GB of documents) have none in 15,000 such corpora, 10**13 about three million
+pairs, fewer than one n-gram in a million.  Blocks hold fewer keys the more buckets there are, one at least: a key costs 6 bytes in
+blocks of hundreds and 17 in a block of its own, so what is sent never exceeds about three times its share here.
 """
 
 from __future__ import annotations
@@ -220,8 +225,8 @@ def _score(n_tokens: int):
 def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, log_score`` (natural log, summed) and ``mean_log_score``.
 
-    Null, empty and blank texts have no words, score 0 and a null mean.  Repeated rows count for each other;
-    null ids pass through; extra columns are ignored.
+    Null, empty and blank texts have no words, score 0 and a null mean.  Repeated rows count for each other; very
+    long texts are read whole; null ids pass through; an empty table gives no rows; extra columns are ignored.
     """
     text = F.col("text").cast("binary")
     coded = written(docs.select(text.alias("text")).mapInArrow(lambda batches: _code(batches, pack_bytes), CODED), "coded")
