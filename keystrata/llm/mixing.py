@@ -150,7 +150,8 @@ def _raked(cells: DataFrame, targets: Mapping, budget: float, rounds: int, local
     if n <= local_cells:
         schema = T.StructType([*cells.schema.fields, T.StructField("probability", T.DoubleType()), T.StructField("residual", T.DoubleType())])
         raked = _raked_here(cells.toPandas(), targets, budget, rounds)
-        return cells.sparkSession.createDataFrame(list(raked.itertuples(index=False, name=None)), schema)
+        # of bounded size, so what is joined to it needn't move
+        return F.broadcast(cells.sparkSession.createDataFrame(list(raked.itertuples(index=False, name=None)), schema))
     p = cells.withColumn("p", F.lit(float(min(1.0, budget))))
     off = F.lit(0.0)
     if total > 0:
