@@ -2,6 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; its rows are written as Parquet in the
 shared folder and read again as the next stage's ``docs``.  All but the last return the columns of documents.
+
+Null, empty and short texts fail the quality rules; a stage called by itself takes them too: they are near-duplicates
+of each other, hold no personal data, have no words to mix and pack as the closing id alone.  Rows without an id are
+kept like others (one of a component beside the one with an id), repeated rows become one at near-duplicates, very
+long texts go whole through every stage, an empty table gives no rows, and extra columns travel along unread.
 """
 
 from __future__ import annotations
