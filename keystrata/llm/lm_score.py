@@ -3,20 +3,22 @@
 ``S(w | v) = c(v w) / c(v)`` where the pair occurs in another document, else ``BACKOFF * c(w) / N``.  A document's
 own counts are left out, so rare text isn't vouched for by itself; a word that nobody else has counts ``UNSEEN``.
 
-Relational plan, with whole column blocks as rows so that a key costs bytes and not a row:
+Relational plan:
 
 1. ``coded``: texts of a batch become word numbers, written once to the shared folder.
-2. Count tables: each batch sends its distinct n-grams with their counts, sorted by a 64-bit hash, to the hash's
-   bucket.  A word or pair that a third of all rows share is one entry per batch.
-3. Each bucket sums its counts and joins the totals to the entries it got; totals go back to the batch.
-4. In the batch the totals meet the exploded n-grams and are summed per document.
+2. Each batch is exploded to its distinct words and pairs, ``(gram, batch, n)`` rows exchanged by a 64-bit hash.  A
+   word or pair that a third of all documents share is one row a batch.
+3. The count table is a ``groupBy`` of these rows by hash, joined back to them without a further exchange.  What only
+   one batch has needs no answer: its own count is the total.
+4. What other batches count goes back to the batch, where the totals meet the exploded n-grams of each document and
+   are summed.
 
 Copies share a text digest, are coded once a batch with their number, and are joined to their rows at the end.
+Groups by batch hold what ``PACK_BYTES`` of text (or one longer text) hold; groups by hash are only added up.
 
 An n-gram is its 64-bit hash.  Two of n distinct n-grams share one with a chance of n * n / 2**65, and then add their
 counts: some 50 million n-grams (0.5 GB of documents) have none in 15,000 such corpora, 10**13 about three million
-pairs, fewer than one n-gram in a million.  Blocks hold fewer keys the more buckets there are, one at least: a key costs 6 bytes in
-blocks of hundreds and 17 in a block of its own, so what is sent never exceeds about three times its share here.
+pairs, fewer than one n-gram in a million.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
-#: Bytes of text that are coded together; bytes of text for each bucket of the count tables.
-PACK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: Bytes of text that are coded together.
+PACK_BYTES = 6 << 20
+#: Of an Arrow batch of n-grams.
+ROWS = 1 << 16
 #: Of an Arrow batch: about one row.
 BATCH_BYTES = "2m"
 
@@ -154,75 +158,42 @@ class _Batch:
         return np.bincount(self.doc, np.log(value), len(self.lengths))
 
 
-def _edges(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets are ranges of the hash: the buckets that sorted keys fall in, and where each begins."""
-    b = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    found, at = np.unique(b, return_index=True)
-    return found, np.append(at, len(keys))
-
-
-def _send(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in range(rows.num_rows):
-                name, *cols = (rows.column(c)[row].as_py() for c in range(5))
-                b = _Batch(*cols)
-                counts = b.counts()
-                found, at = _edges(b.keys, buckets)
-                parts = list(zip(found.tolist(), at[:-1].tolist(), at[1:].tolist()))
-                for lo in range(0, len(parts), 64):
-                    some = parts[lo : lo + 64]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([k for k, _, _ in some], pa.int32()), pa.array([name] * len(some), pa.int64()),
-                            pa.array([_squeezed(b.keys[i:j]) for _, i, j in some], pa.binary()), pa.array([_squeezed(counts[i:j]) for _, i, j in some], pa.binary()),
-                        ],
-                        names=["bucket", "batch", "keys", "counts"],
-                    )
+ENTRIES = "gram long, batch long, n long"
 
-    return run
-
-
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket: the totals of each row's keys over the whole bucket."""
 
-    def settle(bucket: int, held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys = [_opened(k, "<u8") for _, k, _ in held]
-        _, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(back, np.concatenate([_opened(c, "<i8") for _, _, c in held]).astype(float)).astype(np.int64)[back]
-        parts = np.split(total, np.cumsum([len(k) for k in keys])[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([n for n, _, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int32()), pa.array([_squeezed(p) for p in parts], pa.binary())],
-            names=["batch", "bucket", "totals"],
-        )
-
-    bucket, held = None, []
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each coded row its distinct n-grams and how often they occur in it."""
     for rows in batches:
-        for b, name, keys, counts in zip(*(c.to_pylist() for c in rows.columns)):
-            if b != bucket and held:
-                yield from settle(bucket, held)
-                held = []
-            bucket = b
-            held.append((name, keys, counts))
-    if held:
-        yield from settle(bucket, held)
+        for row in range(rows.num_rows):
+            name, *cols = (rows.column(c)[row].as_py() for c in range(5))
+            b = _Batch(*cols)
+            keys, counts = b.keys.view(np.int64), b.counts()
+            del b
+            for at in range(0, len(keys), ROWS):
+                part = [pa.array(keys[at : at + ROWS]), pa.array(np.full(len(keys[at : at + ROWS]), name)), pa.array(counts[at : at + ROWS])]
+                yield pa.RecordBatch.from_arrays(part, names=["gram", "batch", "n"])
 
 
 def _score(n_tokens: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for row in range(rows.num_rows):
-                digests, *cols, totals = (rows.column(c)[row].as_py() for c in range(6))
-                b = _Batch(*cols)
-                got = np.concatenate([_opened(t["totals"], "<i8") for t in sorted(totals, key=lambda t: t["bucket"])])
-                s = b.scores(got, n_tokens)
-                names = [digests[k : k + 16] for k in range(0, len(digests), 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(b.lengths, pa.int64()), pa.array(s, pa.float64())], names=["digest", "n_words", "log_score"])
+    def run(coded: pa.Table, elsewhere: pa.Table) -> pa.Table:
+        digests, *cols = (coded.column(c)[0].as_py() for c in ("digests", "lengths", "times", "hashes", "tokens"))
+        b = _Batch(*cols)
+        totals = b.counts()
+        at = np.searchsorted(b.keys, elsewhere.column("gram").to_numpy().view(np.uint64))
+        totals[at] += elsewhere.column("n_elsewhere").to_numpy()
+        s = b.scores(totals, n_tokens)
+        names = [digests[k : k + 16] for k in range(0, len(digests), 16)]
+        return pa.table([pa.array(names, pa.binary()), pa.array(b.lengths, pa.int64()), pa.array(s, pa.float64())], names=["digest", "n_words", "log_score"])
 
     return run
 
 
-def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def ngram_counts(entries: DataFrame) -> DataFrame:
+    """The count table ``(gram, total, batches)`` of ``(gram, batch, n)`` rows: words and pairs by their 64-bit hash."""
+    return entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches"))
+
+
+def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, log_score`` (natural log, summed) and ``mean_log_score``.
 
     Null, empty and blank texts have no words, score 0 and a null mean.  Repeated rows count for each other; very
@@ -230,14 +201,13 @@ def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES, bucket_bytes: int = BU
     """
     text = F.col("text").cast("binary")
     coded = written(docs.select(text.alias("text")).mapInArrow(lambda batches: _code(batches, pack_bytes), CODED), "coded")
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     n_tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(1, min((1 << 31) - 1, size // bucket_bytes + 1))
-    sent = coded.select("batch", "lengths", "times", "hashes", "tokens").mapInArrow(_send(buckets), "bucket int, batch long, keys binary, counts binary")
-    back = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_total, "batch long, bucket int, totals binary")
-    back = back.groupBy("batch").agg(F.collect_list(F.struct("bucket", "totals")).alias("totals")).withColumnRenamed("batch", "of")
-    met = coded.join(back, coded["batch"] == back["of"]).select("digests", "lengths", "times", "hashes", "tokens", "totals")
-    scores = met.mapInArrow(_score(int(n_tokens)), "digest binary, n_words long, log_score double")
+    # one exchange by hash serves the count table and the join back to its entries
+    entries = coded.select("batch", "lengths", "times", "hashes", "tokens").mapInArrow(_entries, ENTRIES).repartition("gram")
+    shared = ngram_counts(entries).filter("batches > 1").select(F.col("gram").alias("of"), "total")
+    elsewhere = entries.join(shared.hint("shuffle_hash"), entries["gram"] == shared["of"]).select("batch", "gram", (F.col("total") - F.col("n")).alias("n_elsewhere"))
+    met = coded.drop("n_tokens").groupBy("batch").cogroup(elsewhere.groupBy("batch"))
+    scores = met.applyInArrow(_score(int(n_tokens)), "digest binary, n_words long, log_score double")
     scores = scores.groupBy("digest").agg(F.min("n_words").alias("n_words"), F.min("log_score").alias("log_score"))
     # written, so that the join below can split the rows of a text that very many documents share
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
