@@ -72,18 +72,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
-    """Bounds the bytes of an Arrow batch for the jobs run inside: rows that are blocks of columns weigh megabytes."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, size)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings for the jobs run inside."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def arrow_batches(spark: SparkSession, size: str):
+    """Bounds the bytes of an Arrow batch for the jobs run inside: rows that are blocks of columns weigh megabytes."""
+    return settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": size})
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -6,8 +6,8 @@ own counts are left out, so rare text isn't vouched for by itself; a word that n
 Relational plan:
 
 1. ``coded``: texts of a batch become word numbers, written once to the shared folder.
-2. Each batch is exploded to its distinct words and pairs, ``(gram, batch, n)`` rows exchanged by a 64-bit hash.  A
-   word or pair that a third of all documents share is one row a batch.
+2. Each batch is exploded to its distinct words, then to its distinct pairs, a part of all hashes at a time:
+   ``(gram, batch, n)`` rows exchanged by a 64-bit hash.  A word or pair that a third of all documents share is one row a batch.
 3. The count table is a ``groupBy`` of these rows by hash, joined back to them without a further exchange.  What only
    one batch has needs no answer: its own count is the total.
 4. What other batches count goes back to the batch, where the totals meet the exploded n-grams of each document and
@@ -23,10 +23,12 @@ pairs, fewer than one n-gram in a million.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -34,15 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, written
+from .common import Scratch, settings, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text that are coded together.
-PACK_BYTES = 6 << 20
+PACK_BYTES = 8 << 20
 #: Of an Arrow batch of n-grams.
 ROWS = 1 << 16
-#: Of an Arrow batch: about one row.
-BATCH_BYTES = "2m"
+#: Pairs are counted in so many steps by hash, batches scored in so many: each step deletes its exchanges.
+PARTS, SLICES = 2, 2
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -113,46 +115,44 @@ def _code(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[pa.Rec
 
 
 class _Batch:
-    """The n-grams of one coded row: keys in ascending order, and where each token's word and pair stand among them."""
+    """One coded row: its tokens, and its distinct words and pairs with their hashes and counts."""
 
     def __init__(self, lengths: bytes, times: bytes, hashes: bytes, tokens: bytes):
         self.lengths = _opened(lengths, "<u4").astype(np.int64)
         self.times = _opened(times, "<i8")
-        h, ids = _opened(hashes, "<u8"), _opened(tokens, "<u4").astype(np.int32)
-        self.ids, self.doc = ids, np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
-        follows = np.ones(len(ids), bool)
+        self.h, self.ids = _opened(hashes, "<u8"), _opened(tokens, "<u4").astype(np.int32)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        n = np.bincount(self.ids, self.times[self.doc].astype(float), len(self.h))
+        return _mixed(self.h * _ODD + np.uint64(1)), n.astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Also notes the tokens that follow another, and the pair that each of them ends."""
+        follows = np.ones(len(self.ids), bool)
         follows[np.cumsum(self.lengths)[:-1]] = False
         follows[:1] = False
-        self.second = np.flatnonzero(follows).astype(np.int32)  # tokens that follow another
-        pairs = ids[self.second - 1].astype(np.int64) << 32
-        pairs |= ids[self.second]
-        code, back = np.unique(pairs, return_inverse=True)
-        self.pair = back.astype(np.int32)
-        del pairs, back
-        keys = np.concatenate([_mixed(h * _ODD + np.uint64(1)), _mixed(_mixed(h[code >> 32] + np.uint64(2)) * _ODD + h[code & 0xFFFFFFFF])])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.words = keys[order], len(h)
-        self.place = np.empty(len(order), np.int32)
-        self.place[order] = np.arange(len(order), dtype=np.int32)
-
-    def counts(self) -> np.ndarray:
-        weight = self.times[self.doc].astype(float)
-        n = len(self.keys)
-        out = np.bincount(self.place[self.ids], weight, n) + np.bincount(self.place[self.words + self.pair], weight[self.second], n)
-        return out.astype(np.int64)
+        self.second = np.flatnonzero(follows).astype(np.int32)
+        pairs = self.ids[self.second - 1].astype(np.int64) << 32
+        pairs |= self.ids[self.second]
+        self.pair, code = pd.factorize(pairs)
+        del pairs
+        n = np.bincount(self.pair, self.times[self.doc[self.second]].astype(float), len(code))
+        return _mixed(_mixed(self.h[code >> 32] + np.uint64(2)) * _ODD + self.h[code & 0xFFFFFFFF]), n.astype(np.int64)
 
     def own(self, item: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """For each token how often its document has the item."""
         both = doc.astype(np.int64) << 32
         both |= item
-        _, back, n = np.unique(both, return_inverse=True, return_counts=True)
-        return n.astype(np.int32)[back]
+        back, _ = pd.factorize(both)
+        del both
+        return np.bincount(back)[back]
 
-    def scores(self, totals: np.ndarray, n_tokens: int) -> np.ndarray:
-        word = totals[self.place[self.ids]] - self.own(self.ids, self.doc)
+    def scores(self, words: np.ndarray, pairs: np.ndarray, n_tokens: int) -> np.ndarray:
+        word = words[self.ids] - self.own(self.ids, self.doc)
         value = np.maximum(word, UNSEEN) / n_tokens
         at = self.second
-        both = totals[self.place[self.words + self.pair]] - self.own(self.pair, self.doc[at])
+        both = pairs[self.pair] - self.own(self.pair, self.doc[at])
         before = word[at - 1]
         value[at] = np.where((both > 0) & (before > 0), both / np.maximum(before, 1), BACKOFF * value[at])
         return np.bincount(self.doc, np.log(value), len(self.lengths))
@@ -161,27 +161,36 @@ class _Batch:
 ENTRIES = "gram long, batch long, n long"
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each coded row its distinct n-grams and how often they occur in it."""
-    for rows in batches:
-        for row in range(rows.num_rows):
-            name, *cols = (rows.column(c)[row].as_py() for c in range(5))
-            b = _Batch(*cols)
-            keys, counts = b.keys.view(np.int64), b.counts()
-            del b
-            for at in range(0, len(keys), ROWS):
-                part = [pa.array(keys[at : at + ROWS]), pa.array(np.full(len(keys[at : at + ROWS]), name)), pa.array(counts[at : at + ROWS])]
-                yield pa.RecordBatch.from_arrays(part, names=["gram", "batch", "n"])
+def _entries(kind: str, part: int, parts: int):
+    """Of each coded row its distinct words or pairs, of one part of all hashes, and how often they occur in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for row in range(rows.num_rows):
+                name, *cols = (rows.column(c)[row].as_py() for c in range(5))
+                keys, counts = getattr(_Batch(*cols), kind)()
+                if parts > 1:
+                    of = (keys >> np.uint64(32)) % np.uint64(parts) == part
+                    keys, counts = keys[of], counts[of]
+                for at in range(0, len(keys), ROWS):
+                    k = keys[at : at + ROWS].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.full(len(k), name)), pa.array(counts[at : at + ROWS])], names=["gram", "batch", "n"])
+
+    return run
 
 
 def _score(n_tokens: int):
     def run(coded: pa.Table, elsewhere: pa.Table) -> pa.Table:
         digests, *cols = (coded.column(c)[0].as_py() for c in ("digests", "lengths", "times", "hashes", "tokens"))
         b = _Batch(*cols)
-        totals = b.counts()
-        at = np.searchsorted(b.keys, elsewhere.column("gram").to_numpy().view(np.uint64))
-        totals[at] += elsewhere.column("n_elsewhere").to_numpy()
-        s = b.scores(totals, n_tokens)
+        (words, n_words), (pairs, n_pairs) = b.words(), b.pairs()
+        keys, totals = np.concatenate([words, pairs]), np.concatenate([n_words, n_pairs])
+        sought = elsewhere.column("gram").to_numpy().view(np.uint64)
+        order, by = np.argsort(keys), np.argsort(sought)  # both in order: neighbours are found side by side
+        at = order[np.searchsorted(keys[order], sought[by])]
+        totals[at] += elsewhere.column("n_elsewhere").to_numpy()[by]
+        del keys, sought, order, by, at
+        s = b.scores(totals[: len(words)], totals[len(words) :], n_tokens)
         names = [digests[k : k + 16] for k in range(0, len(digests), 16)]
         return pa.table([pa.array(names, pa.binary()), pa.array(b.lengths, pa.int64()), pa.array(s, pa.float64())], names=["digest", "n_words", "log_score"])
 
@@ -193,6 +202,14 @@ def ngram_counts(entries: DataFrame) -> DataFrame:
     return entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("batches"))
 
 
+def _elsewhere(coded: DataFrame, kind: str, part: int, parts: int) -> DataFrame:
+    """``(batch, gram, n_elsewhere)`` of the n-grams that other batches have too; one exchange serves count table and join."""
+    entries = coded.select("batch", "lengths", "times", "hashes", "tokens").mapInArrow(_entries(kind, part, parts), ENTRIES).repartition("gram")
+    shared = ngram_counts(entries).filter("batches > 1").select(F.col("gram").alias("of"), "total")
+    met = entries.join(shared.hint("shuffle_hash"), entries["gram"] == shared["of"])
+    return met.select("batch", "gram", (F.col("total") - F.col("n")).alias("n_elsewhere"))
+
+
 def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per row: ``doc_id, n_words, log_score`` (natural log, summed) and ``mean_log_score``.
 
@@ -200,18 +217,22 @@ def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
     long texts are read whole; null ids pass through; an empty table gives no rows; extra columns are ignored.
     """
     text = F.col("text").cast("binary")
-    coded = written(docs.select(text.alias("text")).mapInArrow(lambda batches: _code(batches, pack_bytes), CODED), "coded")
-    n_tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
-    # one exchange by hash serves the count table and the join back to its entries
-    entries = coded.select("batch", "lengths", "times", "hashes", "tokens").mapInArrow(_entries, ENTRIES).repartition("gram")
-    shared = ngram_counts(entries).filter("batches > 1").select(F.col("gram").alias("of"), "total")
-    elsewhere = entries.join(shared.hint("shuffle_hash"), entries["gram"] == shared["of"]).select("batch", "gram", (F.col("total") - F.col("n")).alias("n_elsewhere"))
-    met = coded.drop("n_tokens").groupBy("batch").cogroup(elsewhere.groupBy("batch"))
-    scores = met.applyInArrow(_score(int(n_tokens)), "digest binary, n_words long, log_score double")
-    scores = scores.groupBy("digest").agg(F.min("n_words").alias("n_words"), F.min("log_score").alias("log_score"))
-    # written, so that the join below can split the rows of a text that very many documents share
-    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}):  # each step's exchanges go with it
+        coded = scratch.written(docs.select(text.alias("text")).mapInArrow(lambda batches: _code(batches, pack_bytes), CODED), "coded")
+        n_tokens = coded.agg(F.sum("n_tokens")).first()[0] or 0
+        steps = [("words", 0, 1)] + [("pairs", part, PARTS) for part in range(PARTS)]
+        elsewhere = functools.reduce(DataFrame.unionByName, [scratch.written(_elsewhere(coded, *step), step[0]) for step in steps])
+        scores = []
+        for k in range(SLICES):
+            here, there = (df.filter(F.pmod(F.xxhash64("batch"), F.lit(SLICES)) == k).groupBy("batch") for df in (coded.drop("n_tokens"), elsewhere))
+            scored_here = here.cogroup(there).applyInArrow(_score(int(n_tokens)), "digest binary, n_words long, log_score double")
+            scores.append(scratch.written(scored_here, "slice"))
+        scores = functools.reduce(DataFrame.unionByName, scores).groupBy("digest").agg(F.min("n_words").alias("n_words"), F.min("log_score").alias("log_score"))
+        # written, so that the join below can split the rows of a text that very many documents share
         scores = written(scores, "scores")
+    scratch.drop()
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("own"))
     return own.join(scores, own["own"] == scores["digest"], "left").select(
         "doc_id",
