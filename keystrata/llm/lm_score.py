@@ -40,11 +40,11 @@ from .common import Scratch, settings, written
 
 BACKOFF, UNSEEN = 0.4, 0.5
 #: Bytes of text that are coded together.
-PACK_BYTES = 8 << 20
+PACK_BYTES = 6 << 20
 #: Of an Arrow batch of n-grams.
 ROWS = 1 << 16
 #: Pairs are counted in so many steps by hash, batches scored in so many: each step deletes its exchanges.
-PARTS, SLICES = 2, 2
+PARTS, SLICES = 2, 4
 
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
