@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession, functions as F
 shared = {shared!r}
 s = (SparkSession.builder.master("local-cluster[3,1,900]").config("spark.executor.memory", "700m").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
      .config("spark.checkpoint.dir", "file://" + shared).config("spark.sql.warehouse.dir", shared + "/w").config("spark.sql.shuffle.partitions", "6").config("spark.default.parallelism", "6")
-     .config("spark.sql.files.maxPartitionBytes", "200k").config("spark.executor.extraJavaOptions", "-Dkeystrata.test=" + str(os.getpid())).config("spark.sql.session.timeZone", "UTC").getOrCreate())
+     .config("spark.sql.files.maxPartitionBytes", "200k").config("spark.sql.session.timeZone", "UTC").getOrCreate())
 s.sparkContext.setLogLevel("OFF")
 import __spark_entry__ as e
 query = e.queries()[{name!r}]
@@ -31,16 +31,23 @@ def rows():
     df = df.select(*(c for c in df.columns if c not in drop))
     return df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
 
+def parent(p):
+    with open("/proc/" + str(p) + "/stat") as f:
+        return int(f.read().rpartition(")")[2].split()[1])
+
 def executors():
-    mark, out = ("-Dkeystrata.test=" + str(os.getpid())).encode(), []
+    # executors among the processes that this one started: only those are ever killed.
+    out = []
     for p in os.listdir("/proc"):
-        if p.isdigit():
-            try:
-                args = open("/proc/" + p + "/cmdline", "rb").read().split(b"\\0")
-            except OSError:
-                continue
-            if mark in args and any(b"CoarseGrainedExecutorBackend" in a for a in args):
-                out.append(int(p))
+        try:
+            if p.isdigit() and any(a.endswith(b".CoarseGrainedExecutorBackend") for a in open("/proc/" + p + "/cmdline", "rb").read().split(b"\\0")):
+                up = parent(p)
+                while up not in (0, 1, os.getpid()):
+                    up = parent(up)
+                if up == os.getpid():
+                    out.append(int(p))
+        except OSError:
+            continue
     return out
 
 first = rows()
