@@ -13,7 +13,7 @@ Relational plan:
 4. What other batches count goes back to the batch, where the totals meet the exploded n-grams of each document and
    are summed.
 
-Copies share a text digest, are coded once a batch with their number, and are joined to their rows at the end.
+Copies share a text's SHA-256, are coded once a batch with their number, and are joined to their rows at the end.
 Groups by batch hold what ``PACK_BYTES`` of text (or one longer text) hold; groups by hash are only added up.
 
 An n-gram is its 64-bit hash.  Two of n distinct n-grams share one with a chance of n * n / 2**65, and then add their
@@ -100,7 +100,7 @@ def _code(batches: Iterator[pa.RecordBatch], pack_bytes: int) -> Iterator[pa.Rec
             text = value.as_py()
             if not text or not text.strip():
                 continue
-            d = hashlib.md5(text).digest()
+            d = hashlib.sha256(text).digest()
             if d in texts:
                 texts[d][1] += 1
                 continue
@@ -191,7 +191,7 @@ def _score(n_tokens: int):
         totals[at] += elsewhere.column("n_elsewhere").to_numpy()[by]
         del keys, sought, order, by, at
         s = b.scores(totals[: len(words)], totals[len(words) :], n_tokens)
-        names = [digests[k : k + 16] for k in range(0, len(digests), 16)]
+        names = [digests[k : k + 32] for k in range(0, len(digests), 32)]
         return pa.table([pa.array(names, pa.binary()), pa.array(b.lengths, pa.int64()), pa.array(s, pa.float64())], names=["digest", "n_words", "log_score"])
 
     return run
@@ -233,7 +233,7 @@ def scored(docs: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
         # written, so that the join below can split the rows of a text that very many documents share
         scores = written(scores, "scores")
     scratch.drop()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("own"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("own"))
     return own.join(scores, own["own"] == scores["digest"], "left").select(
         "doc_id",
         F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"),
