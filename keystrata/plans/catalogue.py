@@ -91,15 +91,9 @@ def q_has_many(spark, d):
     return scan.has_many(version_log(spark, d), keys, "k", **HOW)
 
 
-@query(KV + LIVE + " AND k IN (SELECT printf('u%06d/view', c_custkey) FROM customer WHERE c_custkey <= 40)")
-def q_multi_get(spark, d):
-    keys = _table(spark, d, "customer").filter("c_custkey <= 40").select(_user_key("c_custkey", F.lit("view")).alias("k"))
-    return scan.multi_get(version_log(spark, d), keys, "k", **HOW).select(*OUT)
-
-
 @query(KV + LIVE + " AND k IN (SELECT printf('u%06d/view', c_custkey) FROM customer)")
 def q_multi_get_all(spark, d):
-    """The keys of all customers, where ``q_multi_get`` looks up some."""
+    """The keys of all customers at once."""
     keys = _table(spark, d, "customer").select(_user_key("c_custkey", F.lit("view")).alias("k"))
     return scan.multi_get(version_log(spark, d), keys, "k", **HOW).select(*OUT)
 
