@@ -196,3 +196,70 @@ def redacted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(text if k == at else c for k, c in enumerate(batch.columns))], names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
+
+
+# The same spans in SQL, by whole patterns.  RE2 has no look-ahead: what may not follow an account is taken with it.
+_SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_URL_SQL = rf"[A-Za-z0-9+.-]+://[^{_SPACE}/?#@\"'<>]+:[^{_SPACE}/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?[^{_SPACE}\"'<>]*"
+#: What follows a cue up to the value, the value, and the digits that it must hold.
+_AFTER = {
+    "account": (r"(?i:[\x20_-]?(?:number|no|nr|num|id)\b\.?)?[\x20]?[:#=]?[\x20]?", r"[A-Z]{0,4}[0-9](?:[\x20-]?[A-Z0-9]){5,33}", r"(?:[^A-Za-z0-9]|\z)", 4),
+    "secret": (r"[\x20]?[:=][\x20]?[\"']?", r"[A-Za-z0-9+/_.=-]{8,}", "", 2),
+}
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _oracle() -> str:
+    digits = "regexp_replace(v, '[^0-9]', '', 'g')"
+    valid = {
+        "email": "true",
+        "ip": "list_bool_and([length(ltrim(x, '0')) < 4 AND coalesce(try_cast(ltrim(x, '0') AS INT), 0) < 256 FOR x IN string_split(v, '.')])",
+        "card": f"length({digits}) BETWEEN 12 AND 19 AND list_sum([CASE WHEN k % 2 = 1 THEN c WHEN c > 4 THEN 2 * c - 9 ELSE 2 * c END"
+        f" FOR c, k IN list_transform(string_split(reverse({digits}), ''), lambda x: x::INT)]) % 10 = 0",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "url": "true",
+    }
+    whole = " UNION ALL ".join(
+        f"SELECT rid, '{kind}' AS kind, {RANK[kind]} AS rank, a, a + length(v) AS b FROM (SELECT rid, v, sum(length(gap)) OVER o + sum(length(v)) OVER o - length(v) AS a"
+        f" FROM (SELECT rid, unnest(range(1, len(gaps) + 1)) AS i, unnest(gaps) AS gap, unnest(found) AS v"
+        f" FROM (SELECT rid, regexp_extract_all(t, {p}) AS found, regexp_split_to_array(t, {p}) AS gaps FROM d))"
+        f" WHERE v IS NOT NULL WINDOW o AS (PARTITION BY rid ORDER BY i)) WHERE {valid[kind]}"
+        for kind, p in ((kind, _quoted(p)) for kind, p in (BASE_PATTERNS | {"url": _URL_SQL}).items())
+    )
+    places = " UNION ALL ".join(
+        f"SELECT rid, t, '{kind}' AS kind, {len(cue)} + place AS cue_end, place FROM (SELECT rid, t, i, len(gaps) AS n, (sum(length(gap)) OVER (PARTITION BY rid ORDER BY i) + (i - 1) * {len(cue)})::BIGINT AS place"
+        f" FROM (SELECT rid, t, gaps, unnest(range(1, len(gaps) + 1)) AS i, unnest(gaps) AS gap FROM (SELECT rid, t, string_split(low, '{cue}') AS gaps FROM d))) WHERE i < n"
+        for kind, cues in (("account", ACCOUNT_CUES), ("secret", SECRET_CUES))
+        for cue in cues
+    )
+    values = " UNION ALL ".join(
+        f"SELECT rid, kind, place, cue_end, cue_end + length(regexp_extract(tail, {p}, 1)) AS a, regexp_extract(tail, {p}, 2) AS v, {least} AS least"
+        f" FROM places WHERE kind = '{kind}' AND regexp_matches(tail, {p})" + (r" AND NOT regexp_matches(prior, '[\pL\pN]')" if kind == "account" else "")
+        for kind, p, least in ((kind, _quoted(f"^({before})({value}){after}"), least) for kind, (before, value, after, least) in _AFTER.items())
+    )
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    base = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
+    joined_sql = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    return rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, translate(coalesce(text, ''), '{upper}', '{lower}') AS low FROM documents),
+whole AS ({whole}),
+places AS (SELECT rid, kind, place, cue_end, substr(t, cue_end + 1) AS tail, CASE WHEN place > 0 THEN substr(t, place, 1) ELSE '' END AS prior FROM ({places})),
+val AS (SELECT rid, kind, place, a, a + length(v) AS b, row_number() OVER (PARTITION BY rid, kind ORDER BY cue_end) AS k FROM ({values})
+        WHERE length(regexp_replace(v, '[^0-9]', '', 'g')) >= least),
+walk AS (SELECT rid, kind, k, a, b, b AS done, true AS taken FROM val WHERE k = 1
+         UNION ALL SELECT w.rid, w.kind, x.k, x.a, x.b, CASE WHEN x.place >= w.done THEN x.b ELSE w.done END, x.place >= w.done
+         FROM walk AS w JOIN val AS x ON x.rid = w.rid AND x.kind = w.kind AND x.k = w.k + 1),
+spans AS (SELECT rid, kind, rank, a::BIGINT AS a, b::BIGINT AS b FROM whole
+          UNION ALL SELECT rid, kind, CASE kind WHEN 'account' THEN {RANK["account"]} ELSE {RANK["secret"]} END, a, b FROM walk WHERE taken),
+s AS (SELECT rid, {base}, {joined_sql} FILTER (rank < {len(BASE)}) AS base, {joined_sql} AS spans, count(*) AS n FROM spans GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0)::BIGINT AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n, 0)::BIGINT AS n_spans
+FROM d LEFT JOIN s USING (rid)
+"""
+
+
+#: DuckDB SQL of ``report``'s rows over ``documents``.
+ORACLE_SQL = _oracle()

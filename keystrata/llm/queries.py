@@ -74,6 +74,7 @@ ORACLES: dict[str, str] = {
     "op2_topk": topk.ORACLE_SQL,
     "op5_quality": quality.ORACLE_SQL,
     "op6_substrings": substrings.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
     "op9_licenses": licenses.ORACLE_SQL,
     "op10_lm": lm_score.ORACLE_SQL,

@@ -1,7 +1,10 @@
 import hashlib
+import random
 import re
 import time
 
+import duckdb
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,3 +125,20 @@ def test_frames(spark):
     assert red.columns == df.columns
     assert {(r.doc_id, r.text) for r in red.collect()} == {(1, "write to [EMAIL] now, from [IP]"), (2, None), (None, "[PHONE]"), (3, ""), (4, "clean text é")}
     assert pii.report(df.limit(0)).count() == 0 and pii.redacted(df.limit(0)).count() == 0
+
+
+def test_sql_gives_the_same_spans():
+    rnd = random.Random(7)
+    parts = [*PARTS, "+12 345 678 9", "4111 1111 1111 1111", "1.2.3.4", "a@b.c", "+", "(", "\u00a0", "\u0130", "konto", "cuenta", "0", "256.", "-"]
+    texts = [*CASES, None] + ["".join(rnd.choices(parts, k=rnd.randrange(30))) for _ in range(5000)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    got = con.execute(pii.ORACLE_SQL).df().set_index("doc_id")
+    assert len(got) == len(texts)
+    for d, text in enumerate(texts):
+        spans = pii.find(text)
+        of = [s for s in spans if s[0] in pii.BASE]
+        row = got.loc[d]
+        assert row["spans"] == pii.joined(spans), text
+        assert [row[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in of) for k in pii.BASE]
+        assert row["base_sha256"] == hashlib.sha256(pii.joined(of).encode()).hexdigest() and row["n_spans"] == len(spans)
